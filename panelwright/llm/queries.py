@@ -8,6 +8,18 @@ from pyspark.sql import DataFrame, SparkSession
 
 from panelwright.llm.common import table
 from panelwright.llm.jaccard_join import jaccard_classes
+from panelwright.llm.packing import pack_documents
+from panelwright.llm.token_files import read_token_files, write_token_files
+
+
+def _vocabulary(name: str) -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
+def op3_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return read_token_files(write_token_files(table(spark, sf_dir, "documents"), _vocabulary("byte_bpe_50k.json")))
 
 
 def op8_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -15,7 +27,13 @@ def op8_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_shingles", "component_id")
 
 
+def op9_best_two_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pack_documents(table(spark, sf_dir, "documents"), _vocabulary("word_bpe_49k.json"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op3_token_files": op3_token_files,
     "op8_jaccard_join": op8_jaccard_join,
+    "op9_best_two_fit": op9_best_two_fit,
 }
 ORACLE_SQL: dict[str, str] = {}

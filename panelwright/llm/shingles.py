@@ -29,19 +29,9 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def word_hashes(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Hash of every word of all rows in order, and the n + 1 offsets of the rows' words."""
-    inside = ~_SPACE[data]
-    if not inside.any():
-        return np.zeros(0, np.uint64), np.zeros(len(offsets), np.int64)
-    begins = inside.copy()
-    begins[1:] &= ~inside[:-1]
-    cuts = offsets[:-1]
-    cuts = cuts[cuts < len(data)]
-    begins[cuts] = inside[cuts]
-    starts = np.flatnonzero(begins)
-    del begins
-    bounds = np.append(starts, len(data))
+def segment_hashes(data: np.ndarray, starts: np.ndarray, end: int, weight: np.ndarray) -> np.ndarray:
+    """Hash of each segment of data from one start to the next (the last ends at end), by these byte weights."""
+    bounds = np.append(starts, end)
     out = np.empty(len(starts), np.uint64)
     at = 0
     while at < len(starts):
@@ -49,10 +39,27 @@ def word_hashes(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.n
         own = starts[at:to]
         lo, hi = own[0], bounds[to]
         place = np.arange(hi - lo) - np.repeat(own - lo, bounds[at + 1 : to + 1] - own)
-        value = _WEIGHT[data[lo:hi]] * _POWER[place & ((1 << _POWER_BITS) - 1)]
+        value = weight[data[lo:hi]] * _POWER[place & ((1 << _POWER_BITS) - 1)]
         out[at:to] = np.add.reduceat(value, own - lo)
         at = to
-    return mix(out), np.searchsorted(starts, offsets)
+    return mix(out)
+
+
+def word_starts(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+    """Where the words of all rows begin; a row's end ends a word."""
+    inside = ~_SPACE[data]
+    begins = inside.copy()
+    begins[1:] &= ~inside[:-1]
+    cuts = offsets[:-1]
+    cuts = cuts[cuts < len(data)]
+    begins[cuts] = inside[cuts]
+    return np.flatnonzero(begins)
+
+
+def word_hashes(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Hash of every word of all rows in order, and the n + 1 offsets of the rows' words."""
+    starts = word_starts(data, offsets)
+    return segment_hashes(data, starts, len(data), _WEIGHT), np.searchsorted(starts, offsets)
 
 
 def shingle_sets(data: np.ndarray, offsets: np.ndarray, width: int) -> Iterator[np.ndarray]:
