@@ -5,11 +5,14 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from panelwright.llm.common import table
+from panelwright.llm.common import held_out, table
 from panelwright.llm.jaccard_join import jaccard_classes
+from panelwright.llm.language_id import predict_language, train_language
 from panelwright.llm.packing import pack_documents
 from panelwright.llm.token_files import read_token_files, write_token_files
+from panelwright.llm.toxic_crf import tag_toxic, train_toxic
 
 
 def _vocabulary(name: str) -> str:
@@ -18,10 +21,22 @@ def _vocabulary(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def op2_toxic_crf(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    found = tag_toxic(docs, train_toxic(docs, table(spark, sf_dir, "labels")), with_spans=False)
+    return found.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", "predicted")
+
+
 def op3_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_token_files(write_token_files(table(spark, sf_dir, "documents"), _vocabulary("byte_bpe_50k.json")))
 
 
+def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    found = predict_language(docs, train_language(docs))
+    return found.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score")
+
+
 def op8_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = jaccard_classes(table(spark, sf_dir, "documents"))
     return found.select("doc_id", "n_shingles", "component_id")
@@ -32,7 +47,9 @@ def op9_best_two_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op2_toxic_crf": op2_toxic_crf,
     "op3_token_files": op3_token_files,
+    "op4_language_id": op4_language_id,
     "op8_jaccard_join": op8_jaccard_join,
     "op9_best_two_fit": op9_best_two_fit,
 }
