@@ -11,6 +11,7 @@ from panelwright.llm.common import held_out, table
 from panelwright.llm.jaccard_join import jaccard_classes
 from panelwright.llm.language_id import predict_language, train_language
 from panelwright.llm.packing import pack_documents
+from panelwright.llm.pii import find_pii
 from panelwright.llm.token_files import read_token_files, write_token_files
 from panelwright.llm.toxic_crf import tag_toxic, train_toxic
 
@@ -37,6 +38,10 @@ def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score")
 
 
+def op7_pii_lstm_crf(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return find_pii(table(spark, sf_dir, "documents"))
+
+
 def op8_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = jaccard_classes(table(spark, sf_dir, "documents"))
     return found.select("doc_id", "n_shingles", "component_id")
@@ -50,6 +55,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_toxic_crf": op2_toxic_crf,
     "op3_token_files": op3_token_files,
     "op4_language_id": op4_language_id,
+    "op7_pii_lstm_crf": op7_pii_lstm_crf,
     "op8_jaccard_join": op8_jaccard_join,
     "op9_best_two_fit": op9_best_two_fit,
 }
