@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from panelwright.llm.common import held_out, table
+from panelwright.llm.cover_tree import near_vectors
 from panelwright.llm.jaccard_join import jaccard_classes
 from panelwright.llm.language_id import predict_language, train_language
 from panelwright.llm.packing import pack_documents
@@ -51,6 +52,10 @@ def op9_best_two_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(table(spark, sf_dir, "documents"), _vocabulary("word_bpe_49k.json"))
 
 
+def op10_cover_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_vectors(table(spark, sf_dir, "embeddings"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_toxic_crf": op2_toxic_crf,
     "op3_token_files": op3_token_files,
@@ -58,5 +63,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op7_pii_lstm_crf": op7_pii_lstm_crf,
     "op8_jaccard_join": op8_jaccard_join,
     "op9_best_two_fit": op9_best_two_fit,
+    "op10_cover_tree": op10_cover_tree,
 }
 ORACLE_SQL: dict[str, str] = {}
