@@ -13,8 +13,10 @@ from panelwright.llm.jaccard_join import jaccard_classes
 from panelwright.llm.language_id import predict_language, train_language
 from panelwright.llm.packing import pack_documents
 from panelwright.llm.pii import find_pii
+from panelwright.llm.quality_mcd import quality_outliers
 from panelwright.llm.token_files import read_token_files, write_token_files
 from panelwright.llm.toxic_crf import tag_toxic, train_toxic
+from panelwright.llm.url_rules import Rule, judge_urls
 
 
 def _vocabulary(name: str) -> str:
@@ -23,6 +25,20 @@ def _vocabulary(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+#: The rules of the URL query.
+URL_RULES = [
+    Rule("allow", "com", "/"),
+    Rule("block", "example.com", "/en/"),
+    Rule("allow", "www.example.com", "/en/"),
+    Rule("block", "net", "/es/"),
+    Rule("block", "net", "/fr/"),
+]
+
+
+def op1_quality_mcd(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_outliers(table(spark, sf_dir, "documents"))
+
+
 def op2_toxic_crf(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     found = tag_toxic(docs, train_toxic(docs, table(spark, sf_dir, "labels")), with_spans=False)
@@ -39,6 +55,10 @@ def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score")
 
 
+def op5_url_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return judge_urls(table(spark, sf_dir, "pages"), URL_RULES)
+
+
 def op7_pii_lstm_crf(spark: SparkSession, sf_dir: str) -> DataFrame:
     return find_pii(table(spark, sf_dir, "documents"))
 
@@ -57,9 +77,11 @@ def op10_cover_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_quality_mcd": op1_quality_mcd,
     "op2_toxic_crf": op2_toxic_crf,
     "op3_token_files": op3_token_files,
     "op4_language_id": op4_language_id,
+    "op5_url_rules": op5_url_rules,
     "op7_pii_lstm_crf": op7_pii_lstm_crf,
     "op8_jaccard_join": op8_jaccard_join,
     "op9_best_two_fit": op9_best_two_fit,
