@@ -165,27 +165,48 @@ def predict_language(docs: DataFrame, model: LanguageModel, doc_id: str = "doc_i
     Null text or text without a letter: "und" and 0. A tie goes to the first language by name; without any language
     learned, all is "und". Null doc_ids and repeated rows stay as they are; an empty table gives an empty table.
     """
+    predict = predictor(docs, model)
+
+    def rows(batches):
+        for batch in batches:
+            best, score = predict(batch.column(1))
+            yield pa.RecordBatch.from_arrays([batch.column(0).cast(pa.int64()), pa.array(best, pa.string()), pa.array(score)], ["doc_id", "lang_pred", "score"])
+
+    return only(docs, doc_id, text).mapInArrow(rows, "doc_id long, lang_pred string, score double")
+
+
+def keep_languages(docs: DataFrame, model: LanguageModel, text: str = "text", least: float = 0.4) -> DataFrame:
+    """The rows of docs, with all their columns, whose language is known with a score of at least this."""
+    predict, at = predictor(docs, model), docs.columns.index(text)
+
+    def rows(batches):
+        for batch in batches:
+            best, score = predict(batch.column(at))
+            yield batch.filter(pa.array((best != UNKNOWN) & (score >= least)))
+
+    return docs.mapInArrow(rows, docs.schema)
+
+
+def predictor(docs: DataFrame, model: LanguageModel):
+    """A function for the executors: (languages, scores) of a text column."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
-    def predict(batches):
-        own = shared.value
+    def predict(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        own, n = shared.value, len(column)
         values = kept_values(own.name, len(own.languages) + 1, own.words)
         names = np.array([*own.languages, UNKNOWN], object)
-        for batch in batches:
-            column = batch.column(1)
-            sums = np.zeros((batch.num_rows, len(own.languages) + 1))
-            for a, b, v, at in values.rows(column):
-                total = np.concatenate([np.zeros((1, v.shape[1])), np.cumsum(v, axis=0)])
-                sums[a:b] = total[at[1:]] - total[at[:-1]]
-            best, score = np.full(batch.num_rows, len(own.languages)), np.zeros(batch.num_rows)
-            if own.languages:
-                p = _softmax(own.logits(sums) / own.temperature)
-                best, score = p.argmax(axis=1), p.max(axis=1)
-            lettered = sums[:, -1] > 0
-            for i in np.flatnonzero(~lettered):
-                lettered[i] = bool(_LETTER.search(column[int(i)].as_py() or ""))
-            best = np.where(lettered, best, len(own.languages))
-            score = np.where(lettered & (best < len(own.languages)), score, 0.0)
-            yield pa.RecordBatch.from_arrays([batch.column(0).cast(pa.int64()), pa.array(names[best], pa.string()), pa.array(np.clip(score, 0, 1))], ["doc_id", "lang_pred", "score"])
-
-    return only(docs, doc_id, text).mapInArrow(predict, "doc_id long, lang_pred string, score double")
+        sums = np.zeros((n, len(own.languages) + 1))
+        for a, b, v, at in values.rows(column):
+            total = np.concatenate([np.zeros((1, v.shape[1])), np.cumsum(v, axis=0)])
+            sums[a:b] = total[at[1:]] - total[at[:-1]]
+        best, score = np.full(n, len(own.languages)), np.zeros(n)
+        if own.languages:
+            p = _softmax(own.logits(sums) / own.temperature)
+            best, score = p.argmax(axis=1), p.max(axis=1)
+        lettered = sums[:, -1] > 0
+        for i in np.flatnonzero(~lettered):
+            lettered[i] = bool(_LETTER.search(column[int(i)].as_py() or ""))
+        best = np.where(lettered, best, len(own.languages))
+        return names[best], np.clip(np.where(best < len(own.languages), score, 0.0), 0, 1)
+
+    return predict

@@ -16,7 +16,9 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from panelwright.llm.common import only, text_bytes
 
@@ -399,47 +401,71 @@ def reconcile(text: str, base: list[Span], found: list[tuple[float, int, Span]],
     return sorted(out)
 
 
-def find_pii(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", model: PiiModel | None = None, replace: str | None = None) -> DataFrame:
+def find_pii(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", model: PiiModel | None = None) -> DataFrame:
     """doc_id, n_email, n_ip, n_card, n_phone, base_sha256 (of the patterns' spans), spans (all), for each row.
 
-    Offsets count code points, ends are exclusive. Null text counts as empty, which has no spans. With replace, a
-    format such as "<{}>" that takes the kind, one more column, clean, has the text without its spans (null text stays
-    null). Null doc_ids and repeated rows stay as they are; an empty table gives an empty table.
+    Offsets count code points, ends are exclusive. Null text counts as empty, which has no spans. Null doc_ids and
+    repeated rows stay as they are; an empty table gives an empty table.
     """
-    model = model or default_model()
-    shared = docs.sparkSession.sparkContext.broadcast(model)
-    trigger = np.zeros(256, bool)
-    trigger[[*range(48, 58), 64]] = True
+    search = searcher(docs, model)
 
-    def search(batches):
-        own = shared.value
+    def rows(batches):
         for batch in batches:
-            column, n = batch.column(1), batch.num_rows
-            data, offsets = text_bytes(column)
-            rows = np.unique(np.searchsorted(offsets, np.flatnonzero(trigger[data]), "right") - 1).tolist()
-            base, spans = [[] for _ in range(n)], [[] for _ in range(n)]
-            clean = column.to_pylist() if replace is not None else []
-            for lo in range(0, len(rows), 256):
-                part = rows[lo : lo + 256]
-                texts = [column[i].as_py() for i in part]
-                for i, content, found in zip(part, texts, method_spans(texts, own)):
-                    base[i] = base_spans(content)
-                    spans[i] = reconcile(content, base[i], found, own.settings.least)
-                    if replace is not None and spans[i]:
-                        pieces, last = [], 0
-                        for k, a, b in sorted(spans[i], key=lambda x: x[1:]):
-                            if a >= last:
-                                pieces += [content[last:a], replace.format(KINDS[k])]
-                            last = max(last, b)
-                        clean[i] = "".join([*pieces, content[last:]])
+            base, spans = search(batch.column(1))
             counts = [pa.array([sum(s[0] == k for s in b) for b in base], pa.int64()) for k in range(len(KINDS))]
             digest = [hashlib.sha256(spell(b).encode()).hexdigest() for b in base]
             arrays = [batch.column(0).cast(pa.int64()), *counts, pa.array(digest, pa.string()), pa.array([spell(s) for s in spans], pa.string())]
-            names = ["doc_id", *(f"n_{k}" for k in KINDS), "base_sha256", "spans"]
-            if replace is not None:
-                arrays.append(pa.array(clean, pa.string()))
-                names.append("clean")
-            yield pa.RecordBatch.from_arrays(arrays, names)
-
-    schema = "doc_id long, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string"
-    return only(docs, doc_id, text).mapInArrow(search, schema + ", clean string" * (replace is not None))
+            yield pa.RecordBatch.from_arrays(arrays, ["doc_id", *(f"n_{k}" for k in KINDS), "base_sha256", "spans"])
+
+    return only(docs, doc_id, text).mapInArrow(rows, "doc_id long, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string")
+
+
+def masked(text: str, spans: list[Span], form: str) -> str:
+    """The text with each span, or run of overlapping spans, as form with the kind's name."""
+    pieces, last = [], 0
+    for k, a, b in sorted(spans, key=lambda x: x[1:]):
+        if a >= last:
+            pieces += [text[last:a], form.format(KINDS[k].upper())]
+        last = max(last, b)
+    return "".join([*pieces, text[last:]])
+
+
+def mask_pii(docs: DataFrame, text: str = "text", n_chars: str | None = "n_chars", model: PiiModel | None = None, form: str = "<{}>") -> DataFrame:
+    """docs, with all their rows and columns, and each text's spans masked; n_chars, if given, follows. Null text stays null."""
+    search, at, schema = searcher(docs, model), docs.columns.index(text), docs.schema
+
+    def rows(batches):
+        for batch in batches:
+            column = batch.column(at)
+            _, spans = search(column)
+            if any(spans):
+                changed = [masked(column[i].as_py(), s, form) if s else None for i, s in enumerate(spans)]
+                column = pc.coalesce(pa.array(changed, column.type), column)
+                batch = batch.set_column(at, batch.schema.field(at), column)
+            yield batch
+
+    out = docs.mapInArrow(rows, schema)
+    return out.withColumn(n_chars, F.length(text).cast(schema[n_chars].dataType)) if n_chars and n_chars in docs.columns else out
+
+
+def searcher(docs: DataFrame, model: PiiModel | None = None):
+    """A function for the executors: (base spans, all spans) of each row of a text column."""
+    shared = docs.sparkSession.sparkContext.broadcast(model or default_model())
+    trigger = np.zeros(256, bool)
+    trigger[[*range(48, 58), 64]] = True
+
+    def search(column: pa.Array) -> tuple[list[list[Span]], list[list[Span]]]:
+        own, n = shared.value, len(column)
+        data, offsets = text_bytes(column)
+        rows = np.unique(np.searchsorted(offsets, np.flatnonzero(trigger[data]), "right") - 1).tolist()
+        base: list[list[Span]] = [[] for _ in range(n)]
+        spans: list[list[Span]] = [[] for _ in range(n)]
+        for lo in range(0, len(rows), 256):
+            part = rows[lo : lo + 256]
+            texts = [column[i].as_py() for i in part]
+            for i, content, found in zip(part, texts, method_spans(texts, own)):
+                base[i] = base_spans(content)
+                spans[i] = reconcile(content, base[i], found, own.settings.least)
+        return base, spans
+
+    return search

@@ -11,6 +11,7 @@ from panelwright.llm.common import held_out, table
 from panelwright.llm.cover_tree import near_vectors
 from panelwright.llm.jaccard_join import jaccard_classes
 from panelwright.llm.language_id import predict_language, train_language
+from panelwright.llm.mixing import form_topic, mix_sources
 from panelwright.llm.packing import pack_documents
 from panelwright.llm.pii import find_pii
 from panelwright.llm.quality_mcd import quality_outliers
@@ -59,6 +60,13 @@ def op5_url_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judge_urls(table(spark, sf_dir, "pages"), URL_RULES)
 
 
+def op6_raking(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, source, lang, topic, n_tokens, the cell's weight, the document's probability, and whether it is kept."""
+    found = mix_sources(table(spark, sf_dir, "documents").select("doc_id", "text", "source", "lang"), form_topic(F.col("text")))
+    names = {"mix_source": "source", "mix_lang": "lang", "mix_topic": "topic", "mix_tokens": "n_tokens", "mix_weight": "weight", "mix_probability": "probability", "mix_kept": "kept"}
+    return found.select("doc_id", *[F.col(k).alias(v) for k, v in names.items()])
+
+
 def op7_pii_lstm_crf(spark: SparkSession, sf_dir: str) -> DataFrame:
     return find_pii(table(spark, sf_dir, "documents"))
 
@@ -82,6 +90,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_token_files": op3_token_files,
     "op4_language_id": op4_language_id,
     "op5_url_rules": op5_url_rules,
+    "op6_raking": op6_raking,
     "op7_pii_lstm_crf": op7_pii_lstm_crf,
     "op8_jaccard_join": op8_jaccard_join,
     "op9_best_two_fit": op9_best_two_fit,
