@@ -96,4 +96,22 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_best_two_fit": op9_best_two_fit,
     "op10_cover_tree": op10_cover_tree,
 }
-ORACLE_SQL: dict[str, str] = {}
+_HOST_PATH = """SELECT page_id, translate(regexp_extract(rest, '^[^/?#]*'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host, regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) AS path
+  FROM (SELECT page_id, CASE WHEN strpos(url, '://') > 0 THEN substr(url, strpos(url, '://') + 3) ELSE '' END AS rest FROM pages)"""
+ORACLE_SQL: dict[str, str] = {
+    "op5_url_rules": f"""WITH rules(verdict, h, p) AS (VALUES {", ".join(f"('{r.verdict}', '{r.host}', '{r.path}')" for r in URL_RULES)}), urls AS ({_HOST_PATH}),
+      fits AS (SELECT page_id, host, path, arg_max(h || p, length(h || p)) AS rule, arg_max(verdict, length(h || p)) AS verdict FROM urls JOIN rules ON (host = h OR ends_with(host, '.' || h)) AND starts_with(path, p) GROUP BY 1, 2, 3)
+      SELECT u.page_id, u.host, u.path, rule, coalesce(verdict, 'allow') AS verdict FROM urls u LEFT JOIN fits f ON u.page_id = f.page_id""",
+    "op8_jaccard_join": r"""WITH RECURSIVE docs AS (SELECT doc_id, list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda w: w <> '') AS w FROM documents),
+      sets AS (SELECT doc_id, CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 3 THEN [array_to_string(w, ' ')] ELSE list_distinct(list_transform(range(1, len(w) - 1), lambda i: array_to_string(w[i:i + 2], ' '))) END AS s FROM docs),
+      sized AS (SELECT doc_id, len(s) AS n FROM sets), cells AS (SELECT doc_id, unnest(s) AS g FROM sets),
+      shared AS (SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS c FROM cells a JOIN cells b ON a.g = b.g AND a.doc_id <> b.doc_id GROUP BY 1, 2),
+      links AS (SELECT x, y FROM shared JOIN sized p ON p.doc_id = x JOIN sized q ON q.doc_id = y WHERE 100 * c >= 90 * (p.n + q.n - c)),
+      reach(x, y) AS (SELECT doc_id, doc_id FROM sized UNION SELECT r.x, l.y FROM reach r JOIN links l ON l.x = r.y)
+      SELECT s.doc_id, CAST(any_value(s.n) AS BIGINT) AS n_shingles, min(r.y) AS component_id FROM sized s JOIN reach r ON r.x = s.doc_id GROUP BY 1""",
+    "op10_cover_tree": """WITH RECURSIVE v AS (SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS e FROM embeddings),
+      links AS (SELECT a.vec_id AS x, b.vec_id AS y FROM v a JOIN v b ON a.label = b.label AND a.vec_id <> b.vec_id WHERE list_cosine_similarity(a.e, b.e) >= 0.98),
+      reach(x, y) AS (SELECT vec_id, vec_id FROM v UNION SELECT r.x, l.y FROM reach r JOIN links l ON l.x = r.y),
+      parts AS (SELECT x AS vec_id, min(y) AS component_id FROM reach GROUP BY 1), degrees AS (SELECT x AS vec_id, count(*) AS n FROM links GROUP BY 1)
+      SELECT vec_id, coalesce(n, 0) AS n_links, component_id, vec_id = component_id AS kept FROM parts LEFT JOIN degrees USING (vec_id)""",
+}
