@@ -8,6 +8,9 @@ import math
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from panelwright.functions.scalars import stable_seed
 
 GRID = {"hidden": (5, 10), "rate": (1e-2, 3e-3), "dropout": (0.1, 0.3)}
 
@@ -105,7 +108,7 @@ def train(x, y, xv, yv, dates, settings: dict, seed: int, epochs: int, patience:
 
 
 def search(jobs: DataFrame, blocks: DataFrame, epochs: int = 3, bps: float = 0.0) -> DataFrame:
-    """One record for each job (window, trial, seed): status, hp, val_sharpe, best_epoch, epochs_run, error.
+    """One record for each job (window, trial, seed, and hp to fix the settings): status, hp, val_sharpe, best_epoch, epochs_run, error.
 
     blocks: window, part, x, y, dates. A job is a group of its own, so that one that fails leaves a record and no more.
     """
@@ -115,7 +118,7 @@ def search(jobs: DataFrame, blocks: DataFrame, epochs: int = 3, bps: float = 0.0
         for _, job in left.iterrows():
             record = {"window": job["window"], "trial": job["trial"], "seed": job["seed"], "status": "success", "hp": None, "val_sharpe": None, "best_epoch": None, "epochs_run": None, "error": None}
             try:
-                settings = draw_settings(int(job["seed"]))
+                settings = json.loads(job["hp"]) if job.get("hp") else draw_settings(int(job["seed"]))
                 stacked = {p: right[right["part"] == p] for p in ("train", "validation")}
                 cube = lambda p, c: np.array([[list(v) for v in rows] for rows in stacked[p][c]], float)
                 dates = np.array([list(d) for d in stacked["validation"]["dates"]])
@@ -130,3 +133,11 @@ def search(jobs: DataFrame, blocks: DataFrame, epochs: int = 3, bps: float = 0.0
     own = jobs.withColumn("job", jobs["trial"])
     each = blocks.join(jobs.select("window", jobs["trial"].alias("job")), "window")
     return own.groupBy("window", "job").cogroup(each.groupBy("window", "job")).applyInPandas(run, schema)
+
+
+def replicate_jobs(records: DataFrame, n: int) -> DataFrame:
+    """Jobs (window, trial, seed, hp) that repeat each window's best successful settings from n other seeds; ties go to the lower trial."""
+    best = records.where("status = 'success' AND val_sharpe IS NOT NULL").groupBy("window").agg(F.max_by("hp", F.struct("val_sharpe", -F.col("trial"))).alias("hp"))
+    trial = best.withColumn("trial", F.explode(F.sequence(F.lit(0), F.lit(n - 1))))
+    seed = stable_seed(F.lit(2), F.col("window").cast("string"), F.lit("replicate"), F.col("trial").cast("string"))
+    return trial.select("window", "trial", seed.cast("long").alias("seed"), "hp")

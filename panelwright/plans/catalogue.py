@@ -691,14 +691,28 @@ def stream_bocpd(spark, d):
 # ---- training and bookkeeping ---------------------------------------------------------------------------------
 
 
-@_query
-def lstm_search(spark, d):
+def _blocks(spark, d) -> DataFrame:
     inputs = [f"s{i}" for i in range(len(SIGNALS))]
     held = _full(spark, d).withColumns({c: F.tanh(F.col(c)) for c in inputs}).withColumn("target", S.clip(F.col("target"), -1.0, 1.0))
     split = T.train_split(held, inputs, TRAIN_END)
-    rows = T.blocks(split, inputs).withColumns({"window": F.lit(1999), "dates": F.transform(F.sequence(F.lit(0), F.lit(62)), lambda i: F.concat_ws("-", F.col("block").cast("string"), i.cast("string")))})
-    jobs = spark.range(4).select(F.lit(1999).alias("window"), F.col("id").cast("int").alias("trial"), S.stable_seed(F.lit(1), F.lit("1999"), F.lit("lstm"), F.col("id").cast("string")).cast("long").alias("seed"))
-    return P.search(jobs, rows.select("window", "part", "x", "y", "dates"), epochs=2)
+    codes = F.transform(F.sequence(F.lit(0), F.lit(T.LENGTH - 1)), lambda i: F.concat_ws("-", F.col("block").cast("string"), i.cast("string")))
+    return T.blocks(split, inputs).select(F.lit(1999).alias("window"), "part", "x", "y", codes.alias("dates"))
+
+
+def _search(spark, d) -> DataFrame:
+    seed = S.stable_seed(F.lit(1), F.lit("1999"), F.lit("lstm"), F.col("id").cast("string")).cast("long")
+    jobs = spark.range(4).select(F.lit(1999).alias("window"), F.col("id").cast("int").alias("trial"), seed.alias("seed"))
+    return P.search(jobs, _blocks(spark, d), epochs=2)
+
+
+@_query
+def lstm_search(spark, d):
+    return _search(spark, d)
+
+
+@_query
+def lstm_replicate(spark, d):
+    return P.search(P.replicate_jobs(_search(spark, d), 2), _blocks(spark, d), epochs=2)
 
 
 @_query
@@ -709,5 +723,5 @@ def meta_dup_keys(spark, d):
 @_query
 def meta_grid_missing(spark, d):
     rows = src.star_panel(spark, d)
-    grid = rows.select("ticker").distinct().select("ticker", F.explode(F.sequence(F.lit(1994), F.lit(2002))).cast("long").alias("year"))
+    grid = rows.select("ticker").distinct().select("ticker", F.explode(F.sequence(F.lit(1994).cast("long"), F.lit(2002).cast("long"))).alias("year"))
     return grid.join(rows.select("ticker", F.year("date").cast("long").alias("year")).distinct(), ["ticker", "year"], "left_anti")
