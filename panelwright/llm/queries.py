@@ -104,9 +104,9 @@ ORACLE_SQL: dict[str, str] = {
       SELECT u.page_id, u.host, u.path, rule, coalesce(verdict, 'allow') AS verdict FROM urls u LEFT JOIN fits f ON u.page_id = f.page_id""",
     "op8_jaccard_join": r"""WITH RECURSIVE docs AS (SELECT doc_id, list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda w: w <> '') AS w FROM documents),
       sets AS (SELECT doc_id, CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 3 THEN [array_to_string(w, ' ')] ELSE list_distinct(list_transform(range(1, len(w) - 1), lambda i: array_to_string(w[i:i + 2], ' '))) END AS s FROM docs),
-      sized AS (SELECT doc_id, len(s) AS n FROM sets), cells AS (SELECT doc_id, unnest(s) AS g FROM sets),
-      shared AS (SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS c FROM cells a JOIN cells b ON a.g = b.g AND a.doc_id <> b.doc_id GROUP BY 1, 2),
-      links AS (SELECT x, y FROM shared JOIN sized p ON p.doc_id = x JOIN sized q ON q.doc_id = y WHERE 100 * c >= 90 * (p.n + q.n - c)),
+      sized AS (SELECT doc_id, len(s) AS n FROM sets), cells AS (SELECT doc_id, hash(unnest(s)) AS g FROM sets),
+      shared AS (SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS c FROM cells a JOIN cells b ON a.g = b.g AND a.doc_id < b.doc_id GROUP BY 1, 2),
+      half AS (SELECT x, y FROM shared JOIN sized p ON p.doc_id = x JOIN sized q ON q.doc_id = y WHERE 100 * c >= 90 * (p.n + q.n - c)), links AS (SELECT x, y FROM half UNION ALL SELECT y, x FROM half),
       reach(x, y) AS (SELECT doc_id, doc_id FROM sized UNION SELECT r.x, l.y FROM reach r JOIN links l ON l.x = r.y)
       SELECT s.doc_id, CAST(any_value(s.n) AS BIGINT) AS n_shingles, min(r.y) AS component_id FROM sized s JOIN reach r ON r.x = s.doc_id GROUP BY 1""",
     "op10_cover_tree": """WITH RECURSIVE v AS (SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS e FROM embeddings),
