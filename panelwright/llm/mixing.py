@@ -89,7 +89,7 @@ def calibrate(tokens: np.ndarray, weights: np.ndarray, budget: float) -> float:
     return 0.0
 
 
-def mix_sources(docs: DataFrame, topic: Column, doc_id: str = "doc_id", text: str = "text", source: str = "source", lang: str = "lang", targets: Mapping[str, Mapping[str, float]] | None = None, power: float = 0.7, budget: float = 0.5, seed: int = 17) -> DataFrame:
+def mix_sources(docs: DataFrame, topic: Column, doc_id: str = "doc_id", text: str = "text", source: str = "source", lang: str = "lang", targets: Mapping[str, Mapping[str, float]] | None = None, power: float = 0.7, budget: float = 0.5, seed: int = 17, rounds: int = 20) -> DataFrame:
     """docs with the columns mix_source, mix_lang, mix_topic, mix_tokens, mix_weight, mix_probability, mix_kept.
 
     Tokens are counted as words. targets: for "source", "lang" and "topic", a share for each value; values without one
@@ -129,7 +129,7 @@ def mix_sources(docs: DataFrame, topic: Column, doc_id: str = "doc_id", text: st
             else:
                 whole = sums.agg(F.sum(F.pow("t", F.lit(power))).alias("s")).first()["s"] or 1.0
                 tables[d] = sums.select(F.col(d).alias("value"), (F.pow("t", F.lit(power)) / whole).alias("target"))
-        raked = rake_table(plain, tables)
+        raked = rake_table(plain, tables, rounds)
         # the scale from the weights in steps of a thousandth of their logarithm, of which there are few
         steps = raked.where("weight > 0").groupBy(F.round(F.log("weight"), 3).alias("step")).agg(F.sum("tokens").alias("tokens")).collect()
         total = float(sum(r["tokens"] for r in steps))

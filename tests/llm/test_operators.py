@@ -399,8 +399,8 @@ def test_raking_meets_marginals(spark, docs, none):
         assert np.allclose(np.bincount(place, weights * tokens / tokens.sum()), target, atol=1e-8)
     cells = spark.createDataFrame([(str(a), str(b), str(c), int(t)) for a, b, c, t in zip(*places, tokens)], "source string, lang string, topic string, tokens long")
     tables = {d: spark.createDataFrame([(str(i), float(x)) for i, x in enumerate(t)], "value string, target double") for d, t in zip(mixing.DIMENSIONS, targets)}
-    table = {(r["source"], r["lang"], r["topic"]): r["weight"] for r in mixing.rake_table(cells, tables, rounds=8).collect()}
-    assert np.allclose([table[str(a), str(b), str(c)] for a, b, c in zip(*places)], weights, rtol=1e-3)
+    table = {(r["source"], r["lang"], r["topic"]): r["weight"] for r in mixing.rake_table(cells, tables, rounds=3).collect()}
+    assert np.allclose([table[str(a), str(b), str(c)] for a, b, c in zip(*places)], weights, rtol=0.05)
     scale = mixing.calibrate(tokens, weights, 0.5 * tokens.sum())
     assert abs((tokens * np.minimum(1, scale * weights)).sum() - 0.5 * tokens.sum()) < 1e-6 * tokens.sum()
     got = mixing.mix_sources(docs.drop("mix_tokens"), mixing.form_topic(F.col("text"))).collect()
@@ -413,7 +413,7 @@ def test_sampling_follows_the_probabilities(spark, monkeypatch):
     targets = {"source": {"rare": 0.5, "hot": 0.5}}
     for most in (mixing.DRIVER_CELLS, 0):
         monkeypatch.setattr(mixing, "DRIVER_CELLS", most)
-        got = mixing.mix_sources(frame, F.lit("t"), targets=targets, budget=0.4).where("mix_kept").groupBy("source").count().collect()
+        got = mixing.mix_sources(frame, F.lit("t"), targets=targets, budget=0.4, rounds=2).where("mix_kept").groupBy("source").count().collect()
         n = {r["source"]: r["count"] for r in got}
         assert abs(n["rare"] - 1200) < 110 and abs(n["hot"] - 1200) < 110
 
