@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import gc
+import sys
+import types
 import uuid
 
 import numpy as np
@@ -51,6 +54,15 @@ def only(df: DataFrame, *names: str) -> DataFrame:
     return df.select(*[df[n] for n in names])
 
 
+def worker_cache(kind: str) -> dict:
+    """A dictionary that this Python worker keeps from task to task. Another kind empties it: a worker holds one at a time."""
+    kept = sys.modules.setdefault("_panelwright_cache", types.ModuleType("_panelwright_cache")).__dict__
+    if kept.get("kind") != kind:
+        kept["kind"], kept["own"] = kind, {}
+        gc.collect()
+    return kept["own"]
+
+
 def text_bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """UTF-8 bytes of a text column without a copy, and the n + 1 offsets of its rows (null: empty)."""
     if isinstance(column, pa.ChunkedArray):

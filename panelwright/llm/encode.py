@@ -11,14 +11,12 @@ from __future__ import annotations
 import json
 import os
 import re
-import sys
-import types
 
 import numpy as np
 import pyarrow as pa
 from tokenizers import Tokenizer
 
-from panelwright.llm.common import text_bytes
+from panelwright.llm.common import text_bytes, worker_cache
 from panelwright.llm.shingles import _SPACE, _WEIGHT, segment_hashes, word_starts
 
 CACHE_CHUNKS = 800_000
@@ -56,33 +54,34 @@ class Encoder:
 
     def clear(self) -> None:
         self.slot: dict[int, int] = {}
-        self.stems: dict[str, list[int]] = {}
+        self.stems: dict[str, bytes] = {}
         self.flat = np.zeros(1 << 16, np.uint32)
         self.begin = np.zeros(1 << 14, np.int64)
         self.length = np.zeros(1 << 14, np.int64)
         self.used = 0
 
-    def _stem(self, chunk: str) -> list[int]:
+    def _stem(self, chunk: str) -> bytes:
+        if self.kind == "dropped":
+            chunk = chunk.lower()
         found = self.stems.get(chunk)
         if found is None:
-            if self.kind == "dropped":
-                chunk = chunk.lower()
-            found = self.stems[chunk] = [x.id for x in self.model.tokenize("".join([self.characters[b] for b in chunk.encode()]))]
+            ids = [x.id for x in self.model.tokenize("".join([self.characters[b] for b in chunk.encode()]))]
+            found = self.stems[chunk] = np.array(ids, np.uint32).tobytes()
         return found
 
-    def _ids(self, chunk: str) -> list[int]:
+    def _ids(self, chunk: str) -> bytes:
         m = _SIMPLE.fullmatch(chunk)
         if not m:
-            return self.whole.encode(chunk, add_special_tokens=False).ids
+            return np.array(self.whole.encode(chunk, add_special_tokens=False).ids, np.uint32).tobytes()
         end = m[2]
         if not end:
             return self._stem(m[1])
         if (tail := self.stems.get(end)) is None:
-            tail = self.stems[end] = self.whole.encode(end, add_special_tokens=False).ids
+            tail = self.stems[end] = np.array(self.whole.encode(end, add_special_tokens=False).ids, np.uint32).tobytes()
         return self._stem(m[1]) + tail
 
     def _add(self, key: int, chunk: str) -> None:
-        ids = self._ids(chunk)
+        ids = np.frombuffer(self._ids(chunk), np.uint32)
         k = len(self.slot)
         while self.used + len(ids) > len(self.flat):
             self.flat = np.concatenate([self.flat, np.zeros_like(self.flat)])
@@ -170,7 +169,7 @@ class Encoder:
 
 def encoder(path: str) -> Encoder:
     """This Python worker's encoder for the file, kept from task to task."""
-    kept = sys.modules.setdefault("_panelwright_encoders", types.ModuleType("_panelwright_encoders")).__dict__.setdefault("kept", {})
+    kept = worker_cache("encoders")
     if path not in kept:
         kept[path] = Encoder(path)
     return kept[path]

@@ -2,18 +2,16 @@
 
 from __future__ import annotations
 
-import sys
-import types
 from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 
-from panelwright.llm.common import text_bytes
+from panelwright.llm.common import text_bytes, worker_cache
 from panelwright.llm.shingles import _WEIGHT, segment_hashes, word_starts
 
 #: Words kept from batch to batch in one Python worker, and bytes of text that are valued at a time.
-KEPT_WORDS, STEP_BYTES = 800_000, 4 << 20
+KEPT_WORDS, STEP_BYTES = 400_000, 4 << 20
 
 
 class WordValues:
@@ -61,7 +59,7 @@ class WordValues:
 
 def kept_values(name: str, width: int, value: Callable[[list[str]], np.ndarray]) -> WordValues:
     """This Python worker's table for the model of this name; a new model replaces the old one's table."""
-    kept = sys.modules.setdefault("_panelwright_words", types.ModuleType("_panelwright_words")).__dict__
+    kept = worker_cache("words")
     if kept.get("name") != name:
         kept["name"], kept["values"] = name, WordValues(width, value)
     return kept["values"]
