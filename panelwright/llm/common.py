@@ -54,6 +54,12 @@ def only(df: DataFrame, *names: str) -> DataFrame:
     return df.select(*[df[n] for n in names])
 
 
+def bounded_batches(spark: SparkSession, rows: int = 1000, size: str = "8m") -> None:
+    """Smaller Arrow batches for stages that carry whole texts both ways: a batch is held several times, on both sides."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", size)
+
+
 def worker_cache(kind: str) -> dict:
     """A dictionary that this Python worker keeps from task to task. Another kind empties it: a worker holds one at a time."""
     kept = sys.modules.setdefault("_panelwright_cache", types.ModuleType("_panelwright_cache")).__dict__

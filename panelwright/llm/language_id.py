@@ -19,7 +19,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from panelwright.llm.common import held_out, only
+from panelwright.llm.common import bounded_batches, held_out, only
 from panelwright.llm.shingles import mix
 from panelwright.llm.words import kept_values
 
@@ -177,6 +177,7 @@ def predict_language(docs: DataFrame, model: LanguageModel, doc_id: str = "doc_i
 
 def keep_languages(docs: DataFrame, model: LanguageModel, text: str = "text", least: float = 0.4) -> DataFrame:
     """The rows of docs, with all their columns, whose language is known with a score of at least this."""
+    bounded_batches(docs.sparkSession)
     predict, at = predictor(docs, model), docs.columns.index(text)
 
     def rows(batches):

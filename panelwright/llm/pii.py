@@ -20,7 +20,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from panelwright.llm.common import only, text_bytes
+from panelwright.llm.common import bounded_batches, only, text_bytes
 
 KINDS = ("email", "ip", "card", "phone")
 _DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
@@ -432,6 +432,7 @@ def masked(text: str, spans: list[Span], form: str) -> str:
 
 def mask_pii(docs: DataFrame, text: str = "text", n_chars: str | None = "n_chars", model: PiiModel | None = None, form: str = "<{}>") -> DataFrame:
     """docs, with all their rows and columns, and each text's spans masked; n_chars, if given, follows. Null text stays null."""
+    bounded_batches(docs.sparkSession)
     search, at, schema = searcher(docs, model), docs.columns.index(text), docs.schema
 
     def rows(batches):

@@ -11,7 +11,7 @@ from panelwright.llm.common import text_bytes, worker_cache
 from panelwright.llm.shingles import _WEIGHT, segment_hashes, word_starts
 
 #: Words kept from batch to batch in one Python worker, and bytes of text that are valued at a time.
-KEPT_WORDS, STEP_BYTES = 400_000, 4 << 20
+KEPT_WORDS, STEP_BYTES = 250_000, 2 << 20
 
 
 class WordValues:
