@@ -21,7 +21,7 @@ from panelwright.llm.shingles import _SPACE, _WEIGHT, segment_hashes, word_start
 
 CACHE_CHUNKS = 800_000
 #: Bytes of text that are encoded at a time.
-STEP_BYTES = 4 << 20
+STEP_BYTES = 2 << 20
 _PLAIN = np.random.default_rng(7).integers(1, 2**63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _LETTERS = "A-Za-zÀ-ÖØ-öø-ÿ"
 _SIMPLE = re.compile(rf"( ?[{_LETTERS}]+)([.,;:!?|]*)")
