@@ -20,6 +20,7 @@ from panelwright.llm.common import text_bytes, worker_cache
 from panelwright.llm.shingles import _SPACE, _WEIGHT, segment_hashes, word_starts
 
 CACHE_CHUNKS = 800_000
+CACHE_STEMS = 200_000
 #: Bytes of text that are encoded at a time.
 STEP_BYTES = 2 << 20
 _PLAIN = np.random.default_rng(7).integers(1, 2**63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -53,12 +54,12 @@ class Encoder:
         self.clear()
 
     def clear(self) -> None:
-        self.slot: dict[int, int] = {}
-        self.stems: dict[str, bytes] = {}
+        self.keys = np.zeros(0, np.uint64)  # hashes of the known chunks, sorted, with the place of their ids in flat
+        self.begin = np.zeros(0, np.int64)
+        self.length = np.zeros(0, np.int64)
         self.flat = np.zeros(1 << 16, np.uint32)
-        self.begin = np.zeros(1 << 14, np.int64)
-        self.length = np.zeros(1 << 14, np.int64)
         self.used = 0
+        self.stems: dict[str, bytes] = {}
 
     def _stem(self, chunk: str) -> bytes:
         if self.kind == "dropped":
@@ -80,17 +81,27 @@ class Encoder:
             tail = self.stems[end] = np.array(self.whole.encode(end, add_special_tokens=False).ids, np.uint32).tobytes()
         return self._stem(m[1]) + tail
 
-    def _add(self, key: int, chunk: str) -> None:
-        ids = np.frombuffer(self._ids(chunk), np.uint32)
-        k = len(self.slot)
-        while self.used + len(ids) > len(self.flat):
+    def _find(self, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """For each key, its place among the known ones, and whether it is known."""
+        at = np.searchsorted(self.keys, keys)
+        known = at < len(self.keys)
+        known[known] = self.keys[at[known]] == keys[known]
+        return at, known
+
+    def _add(self, at: np.ndarray, keys: np.ndarray, chunks: list[str]) -> None:
+        """Learns new chunks with rising keys, which belong at these places among the known ones."""
+        found = [self._ids(chunk) for chunk in chunks]
+        lengths = np.fromiter(map(len, found), np.int64, len(found)) // 4
+        ends = self.used + np.cumsum(lengths)
+        while ends[-1] > len(self.flat):
             self.flat = np.concatenate([self.flat, np.zeros_like(self.flat)])
-        if k == len(self.begin):
-            self.begin, self.length = (np.concatenate([x, np.zeros_like(x)]) for x in (self.begin, self.length))
-        self.flat[self.used : self.used + len(ids)] = ids
-        self.begin[k], self.length[k] = self.used, len(ids)
-        self.used += len(ids)
-        self.slot[key] = k
+        self.flat[self.used : ends[-1]] = np.frombuffer(b"".join(found), np.uint32)
+        self.used = int(ends[-1])
+        self.keys = np.insert(self.keys, at, keys)
+        self.begin = np.insert(self.begin, at, ends - lengths)
+        self.length = np.insert(self.length, at, lengths)
+        if len(self.stems) > CACHE_STEMS:
+            self.stems = {}
 
     def _chunks(self, data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
         words = word_starts(data, offsets)
@@ -108,6 +119,12 @@ class Encoder:
         marks[1:] |= space[1:] & ~space[:-1]  # a run of white space begins
         return np.flatnonzero(marks)
 
+    def _chunk(self, data: np.ndarray, offsets: np.ndarray, lo: int, hi: int) -> str:
+        if hi == len(data) or self.kind == "dropped":
+            hi = min(hi, int(offsets[np.searchsorted(offsets, lo, "right")]))
+        raw = data[lo:hi].tobytes()
+        return (raw.rstrip(b" \t\n\x0b\x0c\r") if self.kind == "dropped" else raw).decode("utf-8", "replace")
+
     def _odd_rows(self, data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
         at = [np.flatnonzero((data >= 0x1C) & (data <= 0x1F))]
         if len(data) > 1:
@@ -126,26 +143,18 @@ class Encoder:
         n = len(offsets) - 1
         odd = np.ones(n, bool) if self.kind == "whole" else self._odd_rows(data, offsets)
         if not odd.all():
-            if len(self.slot) > CACHE_CHUNKS:
+            if len(self.keys) > CACHE_CHUNKS:
                 self.clear()
             starts = self._chunks(data, offsets)
             keys = segment_hashes(data, starts, len(data), _WEIGHT if self.kind == "dropped" else _PLAIN)
             uniq, first, inverse = np.unique(keys, return_index=True, return_inverse=True)
-            bounds = np.append(starts, len(data))
-            slots = np.empty(len(uniq), np.int64)
-            get = self.slot.get
-            for i, key in enumerate(uniq.tolist()):
-                k = get(key)
-                if k is None:
-                    lo, hi = bounds[first[i]], bounds[first[i] + 1]
-                    if hi == len(data) or self.kind == "dropped":
-                        hi = min(hi, offsets[np.searchsorted(offsets, lo, "right")])
-                    raw = data[lo:hi].tobytes()
-                    chunk = (raw.rstrip(b" \t\n\x0b\x0c\r") if self.kind == "dropped" else raw).decode("utf-8", "replace")
-                    self._add(key, chunk)
-                    k = len(self.slot) - 1
-                slots[i] = k
-            slots = slots[inverse.reshape(-1)]
+            at, known = self._find(uniq)
+            if not known.all():
+                new = np.flatnonzero(~known)
+                bounds = np.append(starts, len(data))
+                self._add(at[new], uniq[new], [self._chunk(data, offsets, int(bounds[k]), int(bounds[k + 1])) for k in first[new].tolist()])
+                at, _ = self._find(uniq)
+            slots = at[inverse.reshape(-1)]
             lengths = self.length[slots]
             ends = np.cumsum(lengths)
             ids = self.flat[np.arange(ends[-1] if len(ends) else 0) + np.repeat(self.begin[slots] - ends + lengths, lengths)]
