@@ -54,7 +54,7 @@ class Encoder:
         self.clear()
 
     def clear(self) -> None:
-        self.keys = np.zeros(0, np.uint64)  # hashes of the known chunks, sorted, with the place of their ids in flat
+        self.slot = np.zeros(0, np.uint64)  # sorted hashes of the known chunks; a chunk's index is its slot in begin and length
         self.begin = np.zeros(0, np.int64)
         self.length = np.zeros(0, np.int64)
         self.flat = np.zeros(1 << 16, np.uint32)
@@ -83,9 +83,9 @@ class Encoder:
 
     def _find(self, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """For each key, its place among the known ones, and whether it is known."""
-        at = np.searchsorted(self.keys, keys)
-        known = at < len(self.keys)
-        known[known] = self.keys[at[known]] == keys[known]
+        at = np.searchsorted(self.slot, keys)
+        known = at < len(self.slot)
+        known[known] = self.slot[at[known]] == keys[known]
         return at, known
 
     def _add(self, at: np.ndarray, keys: np.ndarray, chunks: list[str]) -> None:
@@ -97,7 +97,7 @@ class Encoder:
             self.flat = np.concatenate([self.flat, np.zeros_like(self.flat)])
         self.flat[self.used : ends[-1]] = np.frombuffer(b"".join(found), np.uint32)
         self.used = int(ends[-1])
-        self.keys = np.insert(self.keys, at, keys)
+        self.slot = np.insert(self.slot, at, keys)
         self.begin = np.insert(self.begin, at, ends - lengths)
         self.length = np.insert(self.length, at, lengths)
         if len(self.stems) > CACHE_STEMS:
@@ -143,7 +143,7 @@ class Encoder:
         n = len(offsets) - 1
         odd = np.ones(n, bool) if self.kind == "whole" else self._odd_rows(data, offsets)
         if not odd.all():
-            if len(self.keys) > CACHE_CHUNKS:
+            if len(self.slot) > CACHE_CHUNKS:
                 self.clear()
             starts = self._chunks(data, offsets)
             keys = segment_hashes(data, starts, len(data), _WEIGHT if self.kind == "dropped" else _PLAIN)
