@@ -26,6 +26,8 @@ QUERIES: dict[str, Query] = {}
 SIGNALS = (1, 5, 10, 21, 42, 63)
 TRAIN_END = dt.date(1998, 12, 31)
 EVENTS = [("first", dt.date(1996, 6, 3), ["ASIA", "EUROPE"]), ("second", dt.date(1998, 8, 17), ["EUROPE", "AMERICA", "AFRICA"]), ("third", dt.date(2000, 3, 10), ["AMERICA"]), ("late", dt.date(2030, 1, 1), ["ASIA"])]
+#: Rows at the end of each series that the selection of a law rests on.
+SELECTION_ROWS = 2_000
 THRESHOLDS = (1.0, 2.0, 3.0, 4.0, 6.0, 8.0)
 
 
@@ -132,11 +134,13 @@ def _year(df: DataFrame) -> DataFrame:
     return df.withColumn("year", F.year("date"))
 
 
-def _prices_for_filter(spark: SparkSession, d: str, rows: int) -> DataFrame:
-    """The last rows of each series, in units of its deviation."""
+def _prices_for_filter(spark: SparkSession, d: str, last: int | None = None) -> DataFrame:
+    """Whole series in units of their deviation; last: only so many rows at the end of each, after the scaling."""
     w = Window.partitionBy("ticker")
-    out = _log(spark, d).withColumn("k", F.row_number().over(w.orderBy(F.desc("date")))).where(F.col("k") <= rows)
-    return out.withColumn("x", F.try_divide("return_pct", F.stddev_pop("return_pct").over(w))).where("x IS NOT NULL").select("ticker", "asset_class", F.col("pos").cast("int").alias("pos"), "x")
+    out = _log(spark, d).withColumn("x", F.try_divide(F.col("return_pct"), F.stddev_pop("return_pct").over(w))).where("x IS NOT NULL")
+    if last is not None:
+        out = out.withColumn("k", F.row_number().over(w.orderBy(F.desc("date")))).where(F.col("k") <= last)
+    return out.select("ticker", "asset_class", F.col("pos").cast("int").alias("pos"), "x")
 
 
 # ---- sources and projections ----------------------------------------------------------------------------------
@@ -629,12 +633,12 @@ def boot_seeded(spark, d):
 
 @_query
 def garch_fit(spark, d):
-    return R.garch_fits(_prices_for_filter(spark, d, 250), "ticker", "x", starts=1)
+    return R.garch_fits(_prices_for_filter(spark, d), "ticker", "x", starts=1)
 
 
 def _filter_query(name: str, garch: bool, nu: float | None) -> None:
     def run(spark, d):
-        return R.change_features(_prices_for_filter(spark, d, 200), "ticker", "x", garch=garch, nu=nu)
+        return R.change_features(_prices_for_filter(spark, d), "ticker", "x", garch=garch, nu=nu)
 
     run.__name__ = name
     _query(run)
@@ -648,7 +652,7 @@ _filter_query("bocpd_garch_t", True, 6.0)
 @_query
 def nu_select(spark, d):
     """The finite law of best score: mean predictive log likelihood by series, then class, then over classes; ties to the first law."""
-    series = _prices_for_filter(spark, d, 120)
+    series = _prices_for_filter(spark, d, SELECTION_ROWS)
     classes = series.select("ticker", "asset_class").distinct()
     scored = None
     for i, nu in enumerate((4.0, 6.0, 10.0)):

@@ -139,6 +139,26 @@ def test_archive(spark, tmp_path):
         panel.zip_panel(spark, str(tmp_path / "a.zip"), ["XX"]).count()
 
 
+@pytest.mark.parametrize("name", ["garch_fit", "bocpd_iid", "bocpd_garch", "bocpd_garch_t", "nu_select"])
+def test_models_get_whole_series(spark, monkeypatch, name):
+    class Seen(Exception):
+        pass
+
+    def seen(series, *_, **__):
+        raise Seen(series)
+
+    days = [("t", "c", i, DAY + dt.timedelta(i), float((-1) ** i * (1 + i // 2000))) for i in range(2500)]
+    monkeypatch.setattr(catalogue, "_log", lambda *_: spark.createDataFrame(days, "ticker string, asset_class string, pos int, date date, return_pct double"))
+    monkeypatch.setattr(regimes, "change_features", seen)
+    monkeypatch.setattr(regimes, "garch_fits", seen)
+    with pytest.raises(Seen) as e:
+        catalogue.QUERIES[name](spark, "")
+    rows = e.value.args[0].orderBy("pos").collect()
+    whole = np.array([r[4] for r in days])
+    assert [r["pos"] for r in rows] == list(range(500 if name == "nu_select" else 0, 2500))
+    assert np.allclose([r["x"] for r in rows], (whole / whole.std())[-len(rows) :])
+
+
 ORACLE_NAMES = ["perf_metrics", "evt_combined_delay", "chart_cusum_combined", "sim_ccd_dnf", "boot_blocks_fixed"]
 
 
