@@ -107,7 +107,7 @@ def train(x, y, xv, yv, dates, settings: dict, seed: int, epochs: int, patience:
     return model, best, at, e
 
 
-def search(jobs: DataFrame, blocks: DataFrame, epochs: int = 3, bps: float = 0.0) -> DataFrame:
+def search(jobs: DataFrame, blocks: DataFrame, epochs: int = 3, bps: float = 0.0, patience: int = 5) -> DataFrame:
     """One record for each job (window, trial, seed, and hp to fix the settings): status, hp, val_sharpe, best_epoch, epochs_run, error.
 
     blocks: window, part, x, y, dates. A job is a group of its own, so that one that fails leaves a record and no more.
@@ -122,7 +122,7 @@ def search(jobs: DataFrame, blocks: DataFrame, epochs: int = 3, bps: float = 0.0
                 stacked = {p: right[right["part"] == p] for p in ("train", "validation")}
                 cube = lambda p, c: np.array([[list(v) for v in rows] for rows in stacked[p][c]], float)
                 dates = np.array([list(d) for d in stacked["validation"]["dates"]])
-                _, score, at, ran = train(cube("train", "x"), cube("train", "y"), cube("validation", "x"), cube("validation", "y"), dates, settings, int(job["seed"]), epochs, bps=bps)
+                _, score, at, ran = train(cube("train", "x"), cube("train", "y"), cube("validation", "x"), cube("validation", "y"), dates, settings, int(job["seed"]), epochs, patience, bps)
                 record |= {"hp": json.dumps(settings, sort_keys=True), "val_sharpe": score, "best_epoch": at, "epochs_run": ran}
             except Exception as e:  # noqa: BLE001  the record tells
                 record |= {"status": "failed", "error": f"{type(e).__name__}: {e}"}

@@ -28,6 +28,10 @@ TRAIN_END = dt.date(1998, 12, 31)
 EVENTS = [("first", dt.date(1996, 6, 3), ["ASIA", "EUROPE"]), ("second", dt.date(1998, 8, 17), ["EUROPE", "AMERICA", "AFRICA"]), ("third", dt.date(2000, 3, 10), ["AMERICA"]), ("late", dt.date(2030, 1, 1), ["ASIA"])]
 #: Rows at the end of each series that the selection of a law rests on.
 SELECTION_ROWS = 2_000
+#: Sizes of the reference's full profile.
+FILTER = {"particles": 500, "most": 250}
+SELECTION_SEEDS, GARCH_STARTS, BOOT_SAMPLES = 2, 5, 2_000
+TRIALS, REPLICATES, TRAINING = 50, 20, {"epochs": 300, "patience": 25}
 THRESHOLDS = (1.0, 2.0, 3.0, 4.0, 6.0, 8.0)
 
 
@@ -625,7 +629,7 @@ def boot_delta_observed(spark, d):
 
 @_query
 def boot_seeded(spark, d):
-    return M.paired_bootstrap(_pairs(spark, d).withColumn("policy", F.lit("hysteresis")), ["policy"], 100)
+    return M.paired_bootstrap(_pairs(spark, d).withColumn("policy", F.lit("hysteresis")), ["policy"], BOOT_SAMPLES)
 
 
 # ---- regime models --------------------------------------------------------------------------------------------
@@ -633,12 +637,12 @@ def boot_seeded(spark, d):
 
 @_query
 def garch_fit(spark, d):
-    return R.garch_fits(_prices_for_filter(spark, d), "ticker", "x", starts=1)
+    return R.garch_fits(_prices_for_filter(spark, d), "ticker", "x", starts=GARCH_STARTS)
 
 
 def _filter_query(name: str, garch: bool, nu: float | None) -> None:
     def run(spark, d):
-        return R.change_features(_prices_for_filter(spark, d), "ticker", "x", garch=garch, nu=nu)
+        return R.change_features(_prices_for_filter(spark, d), "ticker", "x", garch=garch, nu=nu, **FILTER)
 
     run.__name__ = name
     _query(run)
@@ -651,14 +655,15 @@ _filter_query("bocpd_garch_t", True, 6.0)
 
 @_query
 def nu_select(spark, d):
-    """The finite law of best score: mean predictive log likelihood by series, then class, then over classes; ties to the first law."""
+    """The finite law of best score: mean predictive log likelihood by series over all seeds, then class, then over classes; ties to the first law."""
     series = _prices_for_filter(spark, d, SELECTION_ROWS)
     classes = series.select("ticker", "asset_class").distinct()
     scored = None
     for i, nu in enumerate((4.0, 6.0, 10.0)):
-        own = R.change_features(series, "ticker", "x", nu=nu, particles=20, most=20).groupBy("ticker").agg(F.avg("predictive_log_likelihood").alias("score"))
-        own = own.withColumns({"nu": F.lit(nu), "ord": F.lit(i)})
-        scored = own if scored is None else scored.unionByName(own)
+        for replicate in range(SELECTION_SEEDS):
+            own = R.change_features(series, "ticker", "x", nu=nu, replicate=replicate, **FILTER).groupBy("ticker").agg(F.avg("predictive_log_likelihood").alias("score"))
+            own = own.withColumns({"nu": F.lit(nu), "ord": F.lit(i)})
+            scored = own if scored is None else scored.unionByName(own)
     pooled = scored.join(classes, "ticker").groupBy("nu", "ord", "asset_class").agg(F.avg("score").alias("score")).groupBy("nu", "ord").agg(F.avg("score").alias("score"))
     return pooled.orderBy(F.desc("score"), "ord").limit(1).select("nu", "score")
 
@@ -689,7 +694,7 @@ def stream_cusum(spark, d):
 
 @_query
 def stream_bocpd(spark, d):
-    return _online(spark, d, O.OnlineFilter(R.Prior(mu_mean=50.0, mu_sd=50.0, log_hbar_mean=7.0), particles=10, most=10))
+    return _online(spark, d, O.OnlineFilter(R.Prior(mu_mean=50.0, mu_sd=50.0, log_hbar_mean=7.0), **FILTER))
 
 
 # ---- training and bookkeeping ---------------------------------------------------------------------------------
@@ -705,8 +710,8 @@ def _blocks(spark, d) -> DataFrame:
 
 def _search(spark, d) -> DataFrame:
     seed = S.stable_seed(F.lit(1), F.lit("1999"), F.lit("lstm"), F.col("id").cast("string")).cast("long")
-    jobs = spark.range(4).select(F.lit(1999).alias("window"), F.col("id").cast("int").alias("trial"), seed.alias("seed"))
-    return P.search(jobs, _blocks(spark, d), epochs=2)
+    jobs = spark.range(TRIALS).select(F.lit(1999).alias("window"), F.col("id").cast("int").alias("trial"), seed.alias("seed"))
+    return P.search(jobs, _blocks(spark, d), **TRAINING)
 
 
 @_query
@@ -716,7 +721,7 @@ def lstm_search(spark, d):
 
 @_query
 def lstm_replicate(spark, d):
-    return P.search(P.replicate_jobs(_search(spark, d), 2), _blocks(spark, d), epochs=2)
+    return P.search(P.replicate_jobs(_search(spark, d), REPLICATES), _blocks(spark, d), **TRAINING)
 
 
 @_query

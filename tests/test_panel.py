@@ -159,6 +159,35 @@ def test_models_get_whole_series(spark, monkeypatch, name):
     assert np.allclose([r["x"] for r in rows], (whole / whole.std())[-len(rows) :])
 
 
+@pytest.mark.parametrize(("name", "calls", "want"), [
+    ("garch_fit", 1, {"starts": 5}), ("bocpd_iid", 1, {"particles": 500, "most": 250}), ("bocpd_garch", 1, {"particles": 500, "most": 250}), ("bocpd_garch_t", 1, {"particles": 500, "most": 250}),
+    ("nu_select", 6, {"particles": 500, "most": 250}), ("stream_bocpd", 1, {"particles": 500, "most": 250}), ("boot_seeded", 1, {"samples": 2000}), ("lstm_search", 1, {"epochs": 300, "patience": 25, "jobs": 50}), ("lstm_replicate", 2, {"epochs": 300, "patience": 25}),
+])
+def test_models_have_full_sizes(spark, monkeypatch, name, calls, want):
+    seen = []
+    series = spark.createDataFrame([("t", "c", 1, 0.5)], "ticker string, asset_class string, pos int, x double")
+
+    def features(*_, replicate=0, **settings):
+        seen.append(settings)
+        return spark.createDataFrame([("t", 1.0 + replicate)], "ticker string, predictive_log_likelihood double")
+
+    def search(jobs, _, **settings):
+        seen.append(settings | {"jobs": jobs.count()})
+        return jobs.selectExpr("window", "trial", "'success' AS status", "'{}' AS hp", "1.0D AS val_sharpe")
+
+    monkeypatch.setattr(catalogue, "_prices_for_filter", lambda *_: series)
+    monkeypatch.setattr(catalogue, "_online", lambda _, __, detector: seen.append(detector.settings))
+    monkeypatch.setattr(catalogue, "_pairs", lambda *_: series)
+    monkeypatch.setattr(catalogue, "_blocks", lambda *_: None)
+    monkeypatch.setattr(regimes, "change_features", features)
+    monkeypatch.setattr(regimes, "garch_fits", lambda *_, **settings: seen.append(settings))
+    monkeypatch.setattr(metrics, "paired_bootstrap", lambda _, __, samples: seen.append({"samples": samples}))
+    monkeypatch.setattr(positions, "search", search)
+    catalogue.QUERIES[name](spark, "")
+    assert len(seen) == calls and all(want.items() <= s.items() for s in seen)
+    assert name != "lstm_replicate" or seen[1]["jobs"] == 20
+
+
 ORACLE_NAMES = ["perf_metrics", "evt_combined_delay", "chart_cusum_combined", "sim_ccd_dnf", "boot_blocks_fixed"]
 
 
