@@ -21,6 +21,8 @@ from panelwright.llm.common import cut, only
 BLANK = r"[\x20\x09-\x0D]+"
 WORD = r"[^\x20\x09-\x0D]+"
 SCALE = 1000
+#: The group of all documents; a language's and a source's begin with a brace.
+CORPUS = ""
 VARIABLES = ("words", "length", "symbols", "lines", "repeats")
 STATISTICS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
 
@@ -162,9 +164,10 @@ def quality_outliers(docs: DataFrame, doc_id: str = "doc_id", text: str = "text"
     """One row for each row of docs: doc_id, the five statistics, base_failed, kept, distance.
 
     base_failed: fewer than 50 words, or more than half of them in repeated windows. The other documents form groups by
-    language and source (null is a value of its own); a group of fewer than least_group documents joins the others of
-    its language, and if these are still too few, its documents are kept with distance null. kept: not base_failed,
-    and a squared distance within the chi-square quantile of the confidence. Null text counts as empty; null doc_ids and
+    language and source (null is a value of its own). Documents of a group of fewer than least_group are judged by the
+    estimate of all sound documents of their language, and if these are still too few, by that of all sound documents;
+    so each has a distance. kept: not base_failed, and a squared distance within the chi-square quantile of the
+    confidence. Null text counts as empty; null doc_ids and
     repeated rows stay as they are; other columns are ignored; an empty table gives an empty table.
     """
     rows = only(docs, doc_id, text, lang, source).select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"), F.col(lang).alias("lang"), F.col(source).alias("source"))
@@ -174,13 +177,19 @@ def quality_outliers(docs: DataFrame, doc_id: str = "doc_id", text: str = "text"
     sound = rows.where("NOT base_failed")
     named = F.struct(F.coalesce(F.to_json(F.struct("lang")), F.lit("")).alias("lang"), F.coalesce(F.to_json(F.struct("source")), F.lit("")).alias("source"))
     sizes = sound.groupBy(named.alias("own")).agg(F.count("*").alias("n"))
-    sizes = sizes.select("own", F.when(F.col("n") >= settings.least_group, F.to_json("own")).otherwise(F.col("own.lang")).alias("grp"), "n")
-    large = sizes.groupBy("grp").agg(F.sum("n").alias("n")).where(F.col("n") >= settings.least_group).select("grp")
-    sizes = cut(sizes.select("own", "grp").join(large, "grp", "left_semi"))
-    grouped = sound.withColumn("own", named).join(sizes, "own").select("grp", *[f"x_{v}" for v in VARIABLES])
+    least = F.lit(settings.least_group)
+    langs = cut(sizes.groupBy(F.col("own.lang").alias("lang")).agg(F.sum("n").alias("n_lang"), F.max(F.col("n") < least).alias("lends")))
+    corpus = langs.agg(F.coalesce(F.max(F.col("n_lang") < least), F.lit(False)).alias("all_lend"))
+    sizes = sizes.join(langs, F.col("own.lang") == F.col("lang")).crossJoin(corpus)
+    alone, together = F.col("n") >= least, F.col("n_lang") >= least
+    grp = F.when(alone, F.to_json("own")).when(together, F.col("lang")).otherwise(CORPUS)
+    # a row counts in its own group, and in those of its language and of the corpus if a smaller one falls back on them
+    serves = F.filter(F.array(F.when(alone, F.to_json("own")), F.when(together & F.col("lends"), F.col("lang")), F.when(F.col("all_lend"), F.lit(CORPUS))), lambda g: g.isNotNull())
+    sizes = cut(sizes.select("own", grp.alias("grp"), serves.alias("serves")))
+    grouped = sound.withColumn("own", named).join(sizes.select("own", "serves"), "own").select(F.explode("serves").alias("grp"), *[f"x_{v}" for v in VARIABLES])
     estimate = _estimate(grouped, settings)
-    placed = rows.withColumn("own", named).join(sizes, "own", "left")
+    placed = rows.withColumn("own", named).join(sizes.select("own", "grp"), "own", "left")
     far = _distances(placed, estimate)
     distance = F.when(~F.col("base_failed"), F.sqrt("d2"))
     limit = math.sqrt(chi_square_quantile(settings.confidence, len(VARIABLES)))
-    return far.select("doc_id", *STATISTICS, "base_failed", (~F.col("base_failed") & F.coalesce(distance <= limit, F.lit(True))).alias("kept"), distance.alias("distance"))
+    return far.select("doc_id", *STATISTICS, "base_failed", (~F.col("base_failed") & (F.sqrt("d2") <= limit)).alias("kept"), distance.alias("distance"))

@@ -231,6 +231,18 @@ def test_outliers_against_numpy(spark):
     assert all(got[i]["kept"] == (i < 200) for i, _ in texts)
 
 
+def test_small_groups_fall_back_on_all_of_their_language(spark):
+    """Junk is judged in a source of its own, in one beside a large source only, and in a language of its own."""
+    rng = random.Random(6)
+    prose = lambda: " ".join("".join(rng.choices("abcdefghijk", k=rng.randint(2, 9))) for _ in range(rng.randint(60, 300)))
+    junk = " ".join("%%%###" + str(k) for k in range(100))
+    made = [(i, prose(), "en", "large") for i in range(100)] + [(200, junk, "en", "tiny"), (201, prose(), "en", "tiny"), (202, junk, "xx", "rare"), (203, prose(), "xx", "rare")]
+    frame = spark.createDataFrame(made, "doc_id long, text string, lang string, source string")
+    got = {r["doc_id"]: r for r in quality_mcd.quality_outliers(frame).collect()}
+    assert len(got) == 104 and all(r["distance"] is not None for r in got.values())
+    assert all(r["kept"] == (i not in (200, 202)) for i, r in got.items())
+
+
 def test_chi_square():
     assert abs(quality_mcd.chi_square_cdf(quality_mcd.chi_square_quantile(0.975, 5), 5) - 0.975) < 1e-9
     assert abs(quality_mcd.chi_square_quantile(0.95, 2) - 5.991464547) < 1e-6
