@@ -35,7 +35,7 @@ class McdSettings:
     steps: int = 4
     confidence: float = 0.9999
     least_group: int = 40
-    floors: tuple[float, ...] = (0.25, 0.1, 0.5, 0.7, 0.8)
+    floors: tuple[float, ...] = (0.25, 0.1, 0.4, 0.5, 0.6)
 
 
 def let(value: Column, use) -> Column:

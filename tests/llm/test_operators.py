@@ -243,6 +243,13 @@ def test_small_groups_fall_back_on_all_of_their_language(spark):
     assert all(r["kept"] == (i not in (200, 202)) for i, r in got.items())
 
 
+@pytest.mark.parametrize(("variable", "per_cent"), [("symbols", 8), ("lines", 15), ("repeats", 25)])
+def test_each_share_can_reject_alone(variable, per_cent):
+    settings = quality_mcd.McdSettings()
+    limit = quality_mcd.chi_square_quantile(settings.confidence, len(settings.floors)) ** 0.5
+    assert np.log1p(per_cent) / settings.floors[quality_mcd.VARIABLES.index(variable)] > limit
+
+
 def test_chi_square():
     assert abs(quality_mcd.chi_square_cdf(quality_mcd.chi_square_quantile(0.975, 5), 5) - 0.975) < 1e-9
     assert abs(quality_mcd.chi_square_quantile(0.95, 2) - 5.991464547) < 1e-6
