@@ -14,7 +14,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from panelwright.llm.common import cut
+from panelwright.llm.common import cut, fresh_folder
 from panelwright.llm.quality_mcd import WORD
 
 #: Cells that are raked on the driver and broadcast; more are raked as a table and joined.
@@ -58,20 +58,28 @@ def rake(tokens: np.ndarray, places: list[np.ndarray], targets: list[np.ndarray]
     return np.divide(own, share, out=np.zeros(len(own)), where=share > 0)
 
 
-def rake_table(cells: DataFrame, targets: Mapping[str, DataFrame], rounds: int = 20) -> DataFrame:
+def rake_table(cells: DataFrame, targets: Mapping[str, DataFrame], rounds: int = 200, tolerance: float = 1e-10) -> DataFrame:
     """rake() for more cells than a driver should hold: cells (dimensions, tokens) with a column weight.
 
     Each round scales to every dimension's targets (value, target) in turn; a sum by value combines before the shuffle.
+    Rounds are written and read again, as a checkpoint would hand on estimates of sizes that each join multiplies.
+    It ends as rake() does: once no value's sum, where it isn't zero, was further than tolerance from its target.
     """
     whole = cells.agg(F.sum("tokens").alias("t")).first()["t"] or 1
-    out = cells.withColumn("own", F.col("tokens") / F.lit(float(whole)))
+    out = cells.withColumns({"own": F.col("tokens") / F.lit(float(whole)), "gap": F.lit(0.0)})
     for _ in range(rounds):
+        out = out.withColumn("gap", F.lit(0.0))
         for name, target in targets.items():
             now = out.groupBy(name).agg(F.sum("own").alias("now"))
-            scale = now.join(target.withColumnRenamed("value", name), name, "left").select(name, F.coalesce(F.try_divide("target", "now"), F.lit(0.0)).alias("scale"))
-            out = out.join(scale, name).withColumn("own", F.col("own") * F.col("scale")).drop("scale")
-        out = cut(out)
-    return out.withColumn("weight", F.coalesce(F.try_divide(F.col("own") * float(whole), F.col("tokens")), F.lit(0.0))).drop("own")
+            far = F.when(F.col("now") > 0, F.abs(F.col("now") - F.coalesce("target", F.lit(0.0)))).otherwise(0.0)
+            scale = now.join(target.withColumnRenamed("value", name), name, "left").select(name, F.coalesce(F.try_divide("target", "now"), F.lit(0.0)).alias("scale"), far.alias("far"))
+            out = out.join(scale, name).withColumns({"own": F.col("own") * F.col("scale"), "gap": F.greatest("gap", "far")}).drop("scale", "far")
+        place = fresh_folder(out.sparkSession, "raking")
+        out.write.parquet(place)
+        out = out.sparkSession.read.parquet(place)
+        if (out.agg(F.max("gap").alias("gap")).first()["gap"] or 0.0) < tolerance:
+            break
+    return out.withColumn("weight", F.coalesce(F.try_divide(F.col("own") * float(whole), F.col("tokens")), F.lit(0.0))).drop("own", "gap")
 
 
 def calibrate(tokens: np.ndarray, weights: np.ndarray, budget: float) -> float:
@@ -89,7 +97,25 @@ def calibrate(tokens: np.ndarray, weights: np.ndarray, budget: float) -> float:
     return 0.0
 
 
-def mix_sources(docs: DataFrame, topic: Column, doc_id: str = "doc_id", text: str = "text", source: str = "source", lang: str = "lang", targets: Mapping[str, Mapping[str, float]] | None = None, power: float = 0.7, budget: float = 0.5, seed: int = 17, rounds: int = 20) -> DataFrame:
+def calibrate_table(cells: DataFrame, budget: float) -> float:
+    """calibrate() for a table of tokens and weight.
+
+    The kept tokens are concave in the scale and linear between the cells' 1 / weight, so that Newton's steps from 0
+    rise to the solution and end there; each is one sum over the table.
+    """
+    s, some = 0.0, cells.where("weight > 0 AND tokens > 0")
+    while True:
+        sure = F.col("weight") * F.lit(s) >= 1
+        found = some.agg(F.sum(F.when(sure, F.col("tokens"))).alias("sure"), F.sum(F.when(~sure, F.col("tokens") * F.col("weight"))).alias("rest"), F.min("weight").alias("least")).first()
+        if not found["rest"]:
+            return 1 / found["least"] if found["least"] else 1.0
+        new = max((budget - (found["sure"] or 0)) / found["rest"], 0.0)
+        if new <= s * (1 + 1e-12):
+            return max(new, s)
+        s = new
+
+
+def mix_sources(docs: DataFrame, topic: Column, doc_id: str = "doc_id", text: str = "text", source: str = "source", lang: str = "lang", targets: Mapping[str, Mapping[str, float]] | None = None, power: float = 0.7, budget: float = 0.5, seed: int = 17, rounds: int = 200) -> DataFrame:
     """docs with the columns mix_source, mix_lang, mix_topic, mix_tokens, mix_weight, mix_probability, mix_kept.
 
     Tokens are counted as words. targets: for "source", "lang" and "topic", a share for each value; values without one
@@ -116,7 +142,7 @@ def mix_sources(docs: DataFrame, topic: Column, doc_id: str = "doc_id", text: st
             places.append(np.array([at[r[d]] for r in rows], np.int64))
             own = (targets or {}).get(d) or tempered({v: float(tokens[places[-1] == i].sum()) for v, i in at.items()}, power)
             wanted.append(np.array([own.get(v, 0.0) for v in values]))
-        weights = rake(tokens, places, wanted) if n else np.zeros(0)
+        weights = rake(tokens, places, wanted, rounds) if n else np.zeros(0)
         scale = calibrate(tokens, weights, budget * tokens.sum()) if n else 0.0
         made = [(*[r[d] for d in DIMENSIONS], float(w)) for r, w in zip(rows, weights)]
         weighted = F.broadcast(spark.createDataFrame(made, ", ".join(f"{k} string" for k in keys) + ", mix_weight double"))
@@ -130,10 +156,7 @@ def mix_sources(docs: DataFrame, topic: Column, doc_id: str = "doc_id", text: st
                 whole = sums.agg(F.sum(F.pow("t", F.lit(power))).alias("s")).first()["s"] or 1.0
                 tables[d] = sums.select(F.col(d).alias("value"), (F.pow("t", F.lit(power)) / whole).alias("target"))
         raked = rake_table(plain, tables, rounds)
-        # the scale from the weights in steps of a thousandth of their logarithm, of which there are few
-        steps = raked.where("weight > 0").groupBy(F.round(F.log("weight"), 3).alias("step")).agg(F.sum("tokens").alias("tokens")).collect()
-        total = float(sum(r["tokens"] for r in steps))
-        scale = calibrate(np.array([r["tokens"] for r in steps], float), np.exp([r["step"] for r in steps]), budget * total)
+        scale = calibrate_table(raked, budget * float(plain.agg(F.sum("tokens").alias("t")).first()["t"] or 0))
         weighted = raked.select(*[F.col(d).alias(k) for k, d in zip(keys, DIMENSIONS)], F.col("weight").alias("mix_weight"))
     place = F.pmod(F.xxhash64(F.col(doc_id), F.lit(seed)), F.lit(1 << 52)) / (1 << 52)
     out = counted.join(weighted, keys).withColumn("mix_probability", F.least(F.lit(1.0), F.col("mix_weight") * F.lit(scale)))

@@ -427,6 +427,23 @@ def test_raking_meets_marginals(spark, docs, none):
     assert mixing.mix_sources(none, mixing.form_topic(F.col("text"))).count() == 0
 
 
+def test_table_path_equals_the_driver_path(spark, monkeypatch):
+    """Sources of mostly one language each need more than 20 rounds; the table goes as far, and to the same scale."""
+    near = [(a, b, 2000 if a == b else 100 + 7 * a + b) for a in range(4) for b in range(4)]
+    tokens = np.array([t for _, _, t in near], float)
+    places = [np.array([a for a, _, _ in near]), np.array([b for _, b, _ in near])]
+    targets = [np.array([0.4, 0.3, 0.2, 0.1]), np.array([0.15, 0.2, 0.3, 0.35])]
+    want, early = mixing.rake(tokens, places, targets), mixing.rake(tokens, places, targets, 20)
+    assert not np.allclose(early, want, rtol=1e-8)
+    cells = spark.createDataFrame([(str(a), str(b), t) for a, b, t in near], "source string, lang string, tokens long")
+    tables = {d: spark.createDataFrame([(str(i), float(x)) for i, x in enumerate(t)], "value string, target double") for d, t in zip(("source", "lang"), targets)}
+    raked = mixing.rake_table(cells, tables).cache()
+    got = {(r["source"], r["lang"]): r["weight"] for r in raked.collect()}
+    assert np.allclose([got[str(a), str(b)] for a, b, _ in near], want, rtol=1e-9)
+    for share in (0.2, 0.5, 0.9, 1.0):
+        assert abs(mixing.calibrate_table(raked, share * tokens.sum()) / mixing.calibrate(tokens, want, share * tokens.sum()) - 1) < 1e-8
+
+
 def test_sampling_follows_the_probabilities(spark, monkeypatch):
     frame = spark.range(6000).select(F.col("id").alias("doc_id"), F.lit(PROSE).alias("text"), F.when(F.col("id") % 3 == 0, "rare").otherwise("hot").alias("source"), F.lit("en").alias("lang"))
     targets = {"source": {"rare": 0.5, "hot": 0.5}}
