@@ -3,16 +3,19 @@
 from __future__ import annotations
 
 import gc
+import pickle
 import sys
 import types
 import uuid
+from collections.abc import Callable
 
 import numpy as np
 import pyarrow as pa
+from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Used only where the session names no shared folder, as in tests on one machine.
+#: Used only where a local session names no shared folder, as in tests on one machine.
 FALLBACK_CHECKPOINTS = "/tmp/checkpoints/panelwright"
 #: Share of documents (remainder of the id's checksum) that no model may learn labels from.
 HELD_OUT_MODULUS, HELD_OUT_REMAINDER = 4, 2
@@ -29,11 +32,25 @@ def shared_folder(spark: SparkSession) -> str:
         if not spark.sparkContext.getCheckpointDir():
             spark.sparkContext.setCheckpointDir(set_by_cluster)
         return set_by_cluster.rstrip("/")
+    if not spark.sparkContext.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir is unset: on a cluster it must name a folder that driver and executors share")
     if not spark.sparkContext.getCheckpointDir():
         spark.sparkContext.setCheckpointDir(FALLBACK_CHECKPOINTS)
     return FALLBACK_CHECKPOINTS
 
 
+def share(spark: SparkSession, value: object) -> Callable[[], object]:
+    """Broadcasts a value together with the code of its classes, so that executors need not have this package installed."""
+    sent, own = spark.sparkContext.broadcast(cloudpickle.dumps(value)), []
+
+    def get() -> object:
+        if not own:
+            own.append(pickle.loads(sent.value))
+        return own[0]
+
+    return get
+
+
 def cut(df: DataFrame) -> DataFrame:
     """Reliable checkpoint: computed once, kept in the shared folder, so a lost executor repeats nothing before it."""
     shared_folder(df.sparkSession)

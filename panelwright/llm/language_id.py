@@ -19,7 +19,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from panelwright.llm.common import bounded_batches, held_out, only
+from panelwright.llm.common import bounded_batches, held_out, only, share
 from panelwright.llm.shingles import mix
 from panelwright.llm.words import kept_values
 
@@ -30,8 +30,10 @@ _LETTER = regex.compile(r"\p{L}")
 
 @dataclass(frozen=True)
 class LanguageSettings:
-    """sample: labelled documents of a language that are learned from, in expectation; sample_total: of all, at most."""
+    """sample: labelled documents of a language that are learned from, in expectation; sample_total: of all, at most.
+    most_languages: how many languages are learned, those with the most labelled documents (ties: first by name)."""
 
+    most_languages: int = 1000
     sample: int = 400
     sample_total: int = 4000
     longest: int = 3
@@ -150,7 +152,7 @@ def labelled_sample(docs: DataFrame, doc_id: str, text: str, lang: str, settings
     usable = only(docs, doc_id, text, lang).where(F.col(lang).isNotNull() & F.col(text).isNotNull() & ~held_out(F.col(doc_id)))
     counts = usable.groupBy(F.col(lang).alias("_lang")).agg(F.count("*").alias("_n"))
     place = F.pmod(F.xxhash64(doc_id), F.lit(1 << 40)) / (1 << 40)
-    chosen = usable.join(F.broadcast(counts.orderBy(F.desc("_n"), "_lang").limit(1000)), F.col(lang) == F.col("_lang"))
+    chosen = usable.join(F.broadcast(counts.orderBy(F.desc("_n"), "_lang").limit(settings.most_languages)), F.col(lang) == F.col("_lang"))
     return chosen.where(place < settings.sample / F.col("_n")).select(F.xxhash64(doc_id, text).alias("_h"), F.col(text).alias("text"), F.col(lang).alias("lang")).orderBy("_h").limit(settings.sample_total)
 
 
@@ -190,10 +192,10 @@ def keep_languages(docs: DataFrame, model: LanguageModel, text: str = "text", le
 
 def predictor(docs: DataFrame, model: LanguageModel):
     """A function for the executors: (languages, scores) of a text column."""
-    shared = docs.sparkSession.sparkContext.broadcast(model)
+    shared = share(docs.sparkSession, model)
 
     def predict(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-        own, n = shared.value, len(column)
+        own, n = shared(), len(column)
         values = kept_values(own.name, len(own.languages) + 1, own.words)
         names = np.array([*own.languages, UNKNOWN], object)
         sums = np.zeros((n, len(own.languages) + 1))

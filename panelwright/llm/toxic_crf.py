@@ -1,8 +1,9 @@
 """Toxic spans by a linear-chain conditional random field over words.
 
 Two labels, plain and toxic. A word's features are itself, its beginnings and its ending, all of letters and digits
-only; the transitions tie neighbours. Token labels come from the documents' labels: in a toxic training document
-the words count as toxic that hold a feature which is common in toxic documents and all but absent from plain ones.
+only; the transitions tie neighbours. The tables label documents, not words, so token labels are mined from those: in
+a toxic training document the words count as toxic that hold a feature which is common in toxic documents and all but
+absent from plain ones; the field learns from such lists of words what it can, never from the list itself at scoring.
 Forward-backward marginals give each word's probability, and a logistic curve over the strongest words of a document
 gives its score.
 """
@@ -20,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from panelwright.llm.common import held_out, only, text_bytes
+from panelwright.llm.common import held_out, only, share, text_bytes
 from panelwright.llm.shingles import shingle_sets
 from panelwright.llm.words import kept_values
 
@@ -71,15 +72,15 @@ def features(word: str, settings: ToxicSettings) -> list[str]:
     return ["w" + own, *["p" + own[:n] for n in settings.beginnings if len(own) > n], "s" + own[-4:]]
 
 
-def marginals(scores: np.ndarray, starts: np.ndarray, transitions: np.ndarray, start: np.ndarray) -> np.ndarray:
+def marginals(scores: np.ndarray, starts: np.ndarray, transitions: np.ndarray, start: np.ndarray, with_pairs: bool = False):
     """Probability of toxic for each word of a run of sequences (scores: toxic against plain; starts: first words).
 
-    The words are laid out in lanes of equal length; the lanes' transfer matrices are multiplied, the lanes' ends
+    with_pairs: also the expected counts of the four transitions (2 x 2) and of the two labels of first words. The words are laid out in lanes of equal length; the lanes' transfer matrices are multiplied, the lanes' ends
     chained, and the messages then passed in all lanes at once. This is exact forward-backward, whatever the lengths.
     """
     n = len(scores)
     if not n:
-        return np.zeros(0)
+        return (np.zeros(0), np.zeros((2, 2)), np.zeros(2)) if with_pairs else np.zeros(0)
     lanes = max(1, int(math.sqrt(n)))
     length = -(-n // lanes)
     begin = np.zeros(lanes * length, bool)
@@ -114,15 +115,24 @@ def marginals(scores: np.ndarray, starts: np.ndarray, transitions: np.ndarray, s
         total = x + y
         x, y = x / total, y / total
         f0[:, j], f1[:, j] = x, y
-    out = np.empty((lanes, length))
+    out, pairs, inner = np.empty((lanes, length)), np.zeros((2, 2)), ~first
+    inner[np.arange(lanes * length).reshape(lanes, length) >= n] = False
     x, y = right[:, 0], right[:, 1]
     for j in range(length - 1, -1, -1):
         a, b = f0[:, j] * x, f1[:, j] * y
         out[:, j] = b / (a + b)
+        if with_pairs:
+            l0, l1 = (f0[:, j - 1], f1[:, j - 1]) if j else left.T
+            both = np.array([[l0 * m00[:, j] * x, l0 * m01[:, j] * y], [l1 * m10[:, j] * x, l1 * m11[:, j] * y]])
+            pairs += (both / both.sum(axis=(0, 1)))[:, :, inner[:, j]].sum(axis=2)
         x, y = m00[:, j] * x + m01[:, j] * y, m10[:, j] * x + m11[:, j] * y
         total = x + y
         x, y = x / total, y / total
-    return out.reshape(-1)[:n]
+    p = out.reshape(-1)[:n]
+    if not with_pairs:
+        return p
+    firsts = p[begin[:n]]
+    return p, pairs, np.array([(1 - firsts).sum(), firsts.sum()])
 
 
 def document_features(p: np.ndarray, at: np.ndarray, settings: ToxicSettings) -> np.ndarray:
@@ -173,28 +183,29 @@ def fit_toxic(texts: list[str], labels: list[int], settings: ToxicSettings = Tox
     gold = (marked[ids] & np.repeat(y > 0, np.diff(at))).astype(float) if len(ids) else np.zeros(0)
     n = len(ids)
     w, bias, trans, start = np.zeros(len(kept)), -4.0, np.zeros((2, 2)), np.zeros(2)
-    grown_w, grown_b, grown_t = np.full(len(kept), 1e-8), 1e-8, np.full((2, 2), 1e-8)
+    grown_w, grown_b, grown_t, grown_s = np.full(len(kept), 1e-8), 1e-8, np.full((2, 2), 1e-8), np.full(2, 1e-8)
     first = np.zeros(n, bool)
     first[at[:-1][at[:-1] < n]] = True
     follows = np.flatnonzero(~first)
     pair_gold = np.bincount((gold[follows - 1] * 2 + gold[follows]).astype(int), minlength=4).reshape(2, 2) if len(follows) else np.zeros((2, 2))
+    first_gold = np.bincount(gold[first].astype(int), minlength=2).astype(float)
     scale = max(1.0, gold.sum())
     for _ in range(settings.steps if n else 0):
         emit = (bias + np.bincount(owner, w[cell], len(words)))[ids]
-        p = marginals(emit, at[:-1], trans, start)
+        p, pair, firsts = marginals(emit, at[:-1], trans, start, with_pairs=True)
         gap = (p - gold) / scale
         g_word = np.bincount(ids, gap, len(words))
         g = np.bincount(cell, g_word[owner], len(kept)) + settings.penalty * w
-        # transitions by the neighbours' marginals: exact where labels are sure, as almost all are
-        q = p[follows - 1], p[follows]
-        pair = np.array([[((1 - q[0]) * (1 - q[1])).sum(), ((1 - q[0]) * q[1]).sum()], [(q[0] * (1 - q[1])).sum(), (q[0] * q[1]).sum()]])
         g_t = (pair - pair_gold) / scale + 1e-3 * trans
+        g_s = (firsts - first_gold) / scale + 1e-3 * start
         grown_w += g * g
         grown_b += gap.sum() ** 2
         grown_t += g_t * g_t
+        grown_s += g_s * g_s
         w -= settings.rate * g / np.sqrt(grown_w)
         bias -= settings.rate * gap.sum() / math.sqrt(grown_b)
         trans -= 0.1 * settings.rate * g_t / np.sqrt(grown_t)
+        start -= 0.1 * settings.rate * g_s / np.sqrt(grown_s)
     model = ToxicModel({f: float(x) for f, x in zip(kept, w) if abs(x) > 1e-3}, float(bias), trans, start, flat, settings)
     p = marginals(model.words(words)[ids, 0] if n else np.zeros(0), at[:-1], trans, start)
     x = document_features(p, at, settings)
@@ -223,7 +234,7 @@ def tag_toxic(docs: DataFrame, model: ToxicModel, doc_id: str = "doc_id", text:
     Every whole text is scored; null and empty texts have the score of a text without toxic words. Neighbouring toxic
     words make one span. Null doc_ids and repeated rows stay as they are; an empty table gives an empty table.
     """
-    shared = docs.sparkSession.sparkContext.broadcast(model)
+    shared = share(docs.sparkSession, model)
 
     def spans_of(content: str, p: np.ndarray, least: float) -> list[dict]:
         out: list[dict] = []
@@ -240,7 +251,7 @@ def tag_toxic(docs: DataFrame, model: ToxicModel, doc_id: str = "doc_id", text:
     kind = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32()), ("probability", pa.float64())]))
 
     def tag(batches):
-        own = shared.value
+        own = shared()
         values = kept_values(own.name, 1, own.words)
         for batch in batches:
             column, score, spans = batch.column(1), np.zeros(batch.num_rows), [[] for _ in range(batch.num_rows)]
