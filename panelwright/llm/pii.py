@@ -1,17 +1,15 @@
 """Personal data: fixed patterns, and a character-level bidirectional LSTM with CRF transitions that adds spans.
 
-The patterns' spans always stay. The network is trained in numpy from labelled spans. Every kind it knows needs a
-digit or an at sign, so its decoder allows no span without one, and it need only be run near such characters: on
-overlapping windows that cover each of them with a margin. Windows are decoded one by one; where they overlap, a span
-counts from the window that holds it furthest from its edges, and what remains is reconciled over the whole text.
+The patterns' spans always stay. The network is trained in numpy from labelled spans, at every call that is not
+given a model. It reads every whole text in overlapping windows, which are decoded one by one; where they overlap, a
+span counts from the window that holds it furthest from its edges, and what remains is reconciled over the whole text.
 """
 
 from __future__ import annotations
 
+import bisect
 import hashlib
 import re
-import sys
-import types
 from dataclasses import dataclass
 
 import numpy as np
@@ -20,7 +18,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from panelwright.llm.common import bounded_batches, only, text_bytes
+from panelwright.llm.common import bounded_batches, only, share, text_bytes
 
 KINDS = ("email", "ip", "card", "phone")
 _DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
@@ -29,7 +27,9 @@ _DOTTED = re.compile(r"[0-9]+(?:\.[0-9]+)*")
 _CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])+")
 _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 _DIGIT = re.compile(r"[0-9]")
-_TRIGGER = re.compile(r"[0-9@]+")
+#: Bytes of text that are searched at a time.
+STEP_BYTES = 1 << 20
+_AT, _DOT = re.compile(r"@|\bat\b", re.I), re.compile(r"\.|\bdot\b", re.I)
 TAGS = 1 + 2 * len(KINDS)  # outside, then begin and inside of each kind
 
 Span = tuple[int, int, int]  # kind, start, end
@@ -83,51 +83,91 @@ def spell(spans: list[Span]) -> str:
 
 
 def labelled_lines(n: int, seed: int = 5) -> list[tuple[str, list[Span]]]:
-    """n made-up lines with their spans: the four kinds in the forms people write, among words and other numbers."""
+    """n made-up lines with their spans: the four kinds as the patterns know them and as people write them otherwise
+    (spaced, spelled out, in brackets, local numbers, letters beyond ASCII, mistyped cards), among words and other numbers."""
     rng = np.random.default_rng(seed)
     digits = lambda k: "".join(map(str, rng.integers(0, 10, k)))
-    letters = lambda k: "".join(rng.choice(list("abcdefghijklmnopqrstuvwxyzéñü"), k))
     plain = lambda k: "".join(rng.choice(list("abcdefghijklmnopqrstuvwxyz"), k))
+    letters = lambda k: "".join(rng.choice(list("abcdefghijklmnopqrstuvwxyzéñüèó"), k))
+    pick = lambda *xs: xs[int(rng.integers(0, len(xs)))]
 
-    def card() -> str:
-        d = str(rng.integers(3, 6)) + digits(14)
-        d += next(str(c) for c in range(10) if luhn(d + str(c)))
-        sep = rng.choice(["", " ", "-", "."])
-        return sep.join(d[i : i + 4] for i in range(0, 16, 4))
-
-    def phone() -> str:
-        a, b, c = digits(3), digits(3), digits(4)
-        return rng.choice([f"+1 ({a}) {b}-{c}", f"+{digits(2)} {a} {b} {c}", f"({a}) {b}-{c}", f"+{digits(11)}", f"{a}-{b}-{c}"])
+    small = "the of and to in that for at on is was or as a be are der die das und in von zu mit ist ein de la le les et en des que du un pour el los y por con se una do dot da".split()
 
-    def email() -> str:
-        return plain(rng.integers(2, 8)) + rng.choice(["", ".", "_"]) + rng.choice(["", plain(3), digits(2)]) + "@" + plain(rng.integers(3, 8)) + rng.choice(["", digits(1)]) + "." + rng.choice(["com", "org", "example.net", "de"])
+    def word() -> str:
+        w = str(rng.choice(small)) if rng.random() < 0.4 else letters(rng.integers(1, 10))
+        return w.upper() if rng.random() < 0.1 else w.capitalize() if rng.random() < 0.15 else w
 
-    made = (email, lambda: ".".join(str(x) for x in rng.integers(0, 256, 4)), card, phone)
+    def card() -> tuple[str, str]:
+        d = str(rng.integers(3, 6)) + digits(14)
+        own = next(str(c) for c in range(10) if luhn(d + str(c)))
+        name = pick("card ", "visa ", "card no. ", "tarjeta ", "karte ", "carte ", "credit card: ")
+        if rng.random() < 0.35:
+            return name, pick(" ", "-", ".", "  ", "_").join((d + digits(1))[i : i + 4] for i in range(0, 16, 4))
+        sep = pick("", " ", "-", ".", "  ", "/")
+        return pick("", "", name), sep.join((d + own)[i : i + 4] for i in range(0, 16, 4))
+
+    def phone() -> tuple[str, str]:
+        a, b, c, e = digits(3), digits(3), digits(4), digits(2)
+        name = pick("tel ", "tel. ", "phone ", "call ", "fax: ", "mobile ", "ring ")
+        if rng.random() < 0.4:
+            return pick("", "", name), pick(f"+1 ({a}) {b}-{c}", f"+{e} {a} {b} {c}", f"+{digits(11)}", f"+{e}-{a}-{b}{c}")
+        return pick("", name), pick(f"({a}) {b}-{c}", f"{a}-{b}-{c}", f"{a}.{b}.{c}", f"0{e} / {b}{c}", f"0{a} {b} {c}", f"00{e} {a} {b} {c}", f"+{e}.{a}.{b}.{c}", f"{e} {e} {digits(2)} {digits(2)} {digits(2)}")
+
+    def email() -> tuple[str, str]:
+        who = plain(rng.integers(2, 8)) + pick("", ".", "_") + pick("", plain(3), digits(2))
+        host, end = plain(rng.integers(3, 8)) + pick("", "", digits(1)), pick("com", "org", "net", "de", "fr")
+        at, dot = pick(("@", "."), ("@", "."), (" @ ", " . "), (" at ", " dot "), ("(at)", "(dot)"), (" [at] ", " [dot] "), (" AT ", " DOT "), ("[at]", "."))
+        if rng.random() < 0.2:
+            who, host = letters(rng.integers(3, 8)) + "é", letters(rng.integers(3, 8)) + "ü"
+        return pick("", "", "mail ", "write to "), who + at + host + pick("", dot + "example") + dot + end
+
+    def ip() -> tuple[str, str]:
+        if rng.random() < 0.25:
+            return pick("", "ip "), ":".join("".join(rng.choice(list("0123456789abcdef"), rng.integers(1, 5))) for _ in range(8))
+        return pick("", "", "host ", "ip "), pick(".", ".", " . ", "[.]", "(.)").join(str(x) for x in rng.integers(0, 256, 4))
+
+    made = (email, ip, card, phone)
     others = (
         lambda: digits(rng.integers(1, 8)),
-        lambda: digits(2) + "/" + digits(2) + "/" + digits(4),
-        lambda: plain(5) + "=" + "".join(rng.choice(list("0123456789abcdef"), rng.integers(12, 36))),
+        lambda: digits(2) + pick("/", ".", "-") + digits(2) + pick("/", ".", "-") + digits(4),
+        lambda: pick("token", "key", "id", plain(5)) + pick("=", " = ") + pick("", '"') + "".join(rng.choice(list("0123456789abcdef"), rng.integers(12, 41))) + pick("", '"'),
         lambda: digits(rng.integers(1, 3)) + "." + digits(rng.integers(1, 4)),
         lambda: "".join(rng.choice(list("ABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789"), 18)),
-        lambda: "CC " + digits(1) + "." + digits(1),
-        lambda: digits(16) + "$$$",
+        lambda: pick("License, Version ", "version ", "CC ", "v") + digits(1) + "." + digits(1),
+        lambda: digits(16),
+        lambda: digits(16) + pick("$$$", "###", "&&&"),
         lambda: "@" + plain(5),
         lambda: "v" + digits(1) + "." + digits(1) + "." + digits(2),
         lambda: digits(4) + "-" + digits(2) + "-" + digits(2) + " " + digits(2) + ":" + digits(2),
         lambda: digits(rng.integers(9, 30)),
+        lambda: "at " + word() + " dot " + word(),
+        lambda: word() + " at " + word() + ". " + word(),
+        lambda: "(" + digits(rng.integers(1, 3)) + ") " + word(),
+        lambda: ".".join(digits(rng.integers(1, 3)) for _ in range(3)) + " " + word(),
+        lambda: pick("$", "€") + digits(rng.integers(1, 4)) + "," + digits(3) + "." + digits(2),
+        lambda: digits(2) + ":" + digits(2) + ":" + digits(2),
+        lambda: pick("a|b | ", " | ", "## ", "%% ") + digits(2) + " | " + digits(3) + " | " + digits(1),
+        lambda: " ".join(digits(rng.integers(1, 4)) for _ in range(int(rng.integers(2, 7)))),
+        lambda: pick("!!", "%%%", "###", "***", "&&&", "|", "<b>", "...").join(word() for _ in range(4)),
+        lambda: " ".join(word() for _ in range(8)),
+        lambda: ". ".join(word() + " " + word() for _ in range(4)),
+        lambda: " ".join([word()] * int(rng.integers(3, 9))),
+        lambda: word() + " at " + word() + " " + word() + " dot",
+        lambda: " ".join(word().upper() + "," for _ in range(4)),
     )
     out = []
     for _ in range(n):
         line, spans = "", []
         for _ in range(rng.integers(2, 5)):
-            line += " ".join(letters(rng.integers(1, 9)) for _ in range(rng.integers(1, 5))) + rng.choice([" ", " ", ", ", ": ", "\n"])
-            if rng.random() < 0.6:
+            line += " ".join(word() for _ in range(rng.integers(1, 6))) + pick(" ", " ", " ", ", ", ": ", "\n", ". ")
+            if rng.random() < 0.5:
                 k = int(rng.integers(0, len(KINDS)))
-                own = made[k]()
+                name, own = made[k]()
+                line += name
                 spans.append((k, len(line), len(line) + len(own)))
             else:
                 own = others[rng.integers(0, len(others))]()
-            line += own + rng.choice([" ", ". ", ", ", ".\n"])
+            line += own + pick(" ", ". ", ", ", ".\n", "!! ", "### ")
         out.append((line, spans))
     return out
 
@@ -137,150 +177,230 @@ def labelled_lines(n: int, seed: int = 5) -> list[tuple[str, list[Span]]]:
 
 @dataclass(frozen=True)
 class PiiSettings:
-    window: int = 64
-    margin: int = 24
+    """window, margin: of decoding, each window begins that much before the last one's end, twice; train_window: of training."""
+
+    window: int = 256
+    margin: int = 32
+    train_window: int = 80
     embed: int = 12
     hidden: int = 16
-    lines: int = 900
-    epochs: int = 12
-    batch: int = 48
-    rate: float = 0.03
-    least: float = 0.8
+    lines: int = 2400
+    epochs: int = 8
+    batch: int = 64
+    rate: float = 0.02
+    least: float = 0.9
     seed: int = 3
 
 
-def characters(text: str) -> np.ndarray:
-    """A class for each code point: ASCII as it is, other letters, white space, the rest."""
-    points = np.frombuffer(text.encode("utf-32-le", "replace"), np.uint32)
-    out = np.where(points < 127, points, 1).astype(np.int64)
-    for i in np.flatnonzero(points >= 127).tolist():
-        c = chr(points[i])
-        out[i] = 2 if c.isalpha() else 32 if c.isspace() else 1
+def _classes() -> np.ndarray:
+    """The class of each code point below 2 ** 16."""
+    out = np.ones(1 << 16, np.uint8)
+    out[:127] = np.arange(127)
+    for p in range(127, 1 << 16):
+        c = chr(p)
+        out[p] = 2 if c.isalpha() else 32 if c.isspace() else 1
     return out
 
 
-def _sigmoid(x: np.ndarray) -> np.ndarray:
-    return 1 / (1 + np.exp(-np.clip(x, -30, 30)))
+_CLASSES = _classes()
+
+
+def characters(text: str) -> np.ndarray:
+    """A class for each code point: ASCII as it is, other letters, white space, the rest."""
+    points = np.frombuffer(text.encode("utf-32-le", "replace"), np.uint32)
+    return np.where(points < 1 << 16, _CLASSES[np.minimum(points, (1 << 16) - 1)], 1).astype(np.uint8)
 
 
 class PiiModel:
-    """Embedding, forward and backward LSTM, linear emissions, and CRF transitions."""
+    """Embedding, forward and backward LSTM, linear emissions, and CRF transitions.
+
+    Arrays are time x features x batch. A direction's weights W act on (state, embedding, 1) and give the input, forget
+    and output gates and the fresh cell, in this order.
+    """
 
     def __init__(self, settings: PiiSettings) -> None:
         self.settings, rng = settings, np.random.default_rng(settings.seed)
         e, h = settings.embed, settings.hidden
-        draw = lambda *shape: (rng.standard_normal(shape) / np.sqrt(shape[0])).astype(np.float32)
-        self.p = {"E": draw(128, e) * 3, "O": draw(2 * h, TAGS), "o": np.zeros(TAGS, np.float32), "T": np.zeros((TAGS, TAGS), np.float32)}
+        draw = lambda *shape: (rng.standard_normal(shape) / np.sqrt(shape[-1])).astype(np.float32)
+        self.p = {"E": (draw(128, e) * np.sqrt(e)).astype(np.float32) / 4, "O": draw(TAGS, 2 * h), "o": np.zeros(TAGS, np.float32), "T": np.zeros((TAGS, TAGS), np.float32)}
         for d in "fb":
-            self.p |= {f"X{d}": draw(e, 4 * h), f"H{d}": draw(h, 4 * h), f"c{d}": np.repeat(np.array([0, 1, 0, 0], np.float32), h)}
+            bias = np.repeat(np.array([0, 1, 0, 0], np.float32), h)[:, None]
+            self.p[f"W{d}"] = np.concatenate([draw(4 * h, h), draw(4 * h, e), bias], axis=1)
         self.allowed = np.ones((TAGS, TAGS), bool)
         for k in range(len(KINDS)):
             self.allowed[:, 2 + 2 * k] = False
             self.allowed[[1 + 2 * k, 2 + 2 * k], 2 + 2 * k] = True
 
-    def _lstm(self, x: np.ndarray, d: str, keep: bool):
-        """x: batch x time x embed, in this direction's order."""
-        h, (n, t, _) = self.settings.hidden, x.shape
-        g = x @ self.p[f"X{d}"] + self.p[f"c{d}"]
-        out, state, cell, kept = np.empty((n, t, h), np.float32), np.zeros((n, h), np.float32), np.zeros((n, h), np.float32), []
-        for j in range(t):
-            a = g[:, j] + state @ self.p[f"H{d}"]
-            s, u = _sigmoid(a[:, : 3 * h]), np.tanh(a[:, 3 * h :])
-            before = (state, cell)
-            cell = s[:, h : 2 * h] * cell + s[:, :h] * u
-            tc = np.tanh(cell)
-            state = s[:, 2 * h :] * tc
-            out[:, j] = state
-            if keep:
-                kept.append((s, u, tc, *before))
-        return out, kept
-
-    def emissions(self, ids: np.ndarray, keep: bool = False):
-        x = self.p["E"][ids]
-        f, kf = self._lstm(x, "f", keep)
-        b, kb = self._lstm(x[:, ::-1], "b", keep)
-        both = np.concatenate([f, b[:, ::-1]], axis=2)
-        out = both @ self.p["O"] + self.p["o"]
-        return (out, both, x, kf, kb) if keep else out
-
     def _potentials(self) -> np.ndarray:
         return np.where(self.allowed, self.p["T"], -1e4)
 
-    def forward_backward(self, e: np.ndarray):
-        """(log partition, marginals, expected transitions) of each sequence; the first tag may not be an inside."""
-        n, t, k = e.shape
+    def _letters(self) -> np.ndarray:
+        """What a character adds to the network's input: its embedding and the constant one, by column."""
+        return np.ascontiguousarray(np.column_stack([self.p["E"], np.ones(len(self.p["E"]), np.float32)]).T)
+
+    # -- training
+
+    def _lstm(self, ids: np.ndarray, d: str, order) -> tuple[np.ndarray, ...]:
+        """States of every time in this order, and what the gradient needs: inputs, gates, cells."""
+        h, (t, n) = self.settings.hidden, ids.shape
+        letters, own = self._letters(), self.p[f"W{d}"]
+        z, gates = np.zeros((t, h + len(letters), n), np.float32), np.empty((t, 4 * h, n), np.float32)
+        states, cells, cell, state = np.empty((t, h, n), np.float32), np.empty((t, h, n), np.float32), np.zeros((h, n), np.float32), np.zeros((h, n), np.float32)
+        for j in order:
+            z[j, :h] = state
+            z[j, h:] = letters[:, ids[j]]
+            a = np.matmul(own, z[j], out=gates[j])
+            a[: 3 * h] *= 0.5
+            np.tanh(a, out=a)
+            a[: 3 * h] += 1
+            a[: 3 * h] *= 0.5
+            cell = a[h : 2 * h] * cell + a[:h] * a[3 * h :]
+            cells[j] = cell
+            state = np.multiply(a[2 * h : 3 * h], np.tanh(cell), out=states[j])
+        return states, z, gates, cells
+
+    def _lstm_gradient(self, ids: np.ndarray, d: str, order: list[int], d_states: np.ndarray, z: np.ndarray, gates: np.ndarray, cells: np.ndarray, grad: dict) -> None:
+        h, own = self.settings.hidden, self.p[f"W{d}"]
+        back = np.empty_like(gates)
+        dh, dc = np.zeros_like(cells[0]), np.zeros_like(cells[0])
+        for at in range(len(order) - 1, -1, -1):
+            j = order[at]
+            i, f, o, u = (gates[j, k * h : (k + 1) * h] for k in range(4))
+            tc = np.tanh(cells[j])
+            dh += d_states[j]
+            dc += dh * o * (1 - tc * tc)
+            da = back[j]
+            da[:h] = dc * u * i * (1 - i)
+            da[h : 2 * h] = dc * cells[order[at - 1]] * f * (1 - f) if at else 0
+            da[2 * h : 3 * h] = dh * tc * o * (1 - o)
+            da[3 * h :] = dc * i * (1 - u * u)
+            dh = own[:, :h].T @ da
+            dc *= f
+        grad[f"W{d}"] = np.matmul(back, z.transpose(0, 2, 1)).sum(axis=0)
+        dx = np.matmul(np.ascontiguousarray(own[:, h:-1].T), back)
+        for k in range(dx.shape[1]):
+            grad["E"][:, k] += np.bincount(ids.ravel(), dx[:, k].ravel(), len(grad["E"]))
+
+    def emissions(self, ids: np.ndarray) -> tuple[np.ndarray, list]:
+        """time x tags x batch, and what the gradient needs; ids: time x batch."""
+        t = len(ids)
+        runs = [(d, order, self._lstm(ids, d, order)) for d, order in (("f", list(range(t))), ("b", list(range(t - 1, -1, -1))))]
+        both = np.concatenate([kept[0] for _, _, kept in runs], axis=1)
+        return np.matmul(self.p["O"], both) + self.p["o"][:, None], [both, runs]
+
+    def forward_backward(self, e: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(log partition of each sequence, marginals, expected transitions of all); the first tag may not be an inside."""
+        t, k, n = e.shape
         trans = np.exp(self._potentials()).astype(np.float64)
-        top = e.max(axis=2, keepdims=True)
-        own = np.exp(e - top).astype(np.float64)
-        alpha, scale = np.empty((n, t, k)), np.empty((n, t))
-        a = own[:, 0] * self.allowed[0]
+        top = e.max(axis=1, keepdims=True)
+        own = np.exp((e - top).astype(np.float64))
+        alpha, scale = np.empty((t, k, n)), np.empty((t, n))
+        a = own[0] * self.allowed[0][:, None]
         for j in range(t):
             if j:
-                a = (a @ trans) * own[:, j]
-            scale[:, j] = a.sum(axis=1)
-            a = a / scale[:, j, None]
-            alpha[:, j] = a
-        beta, p, pairs = np.ones((n, k)), np.empty((n, t, k)), np.zeros((k, k))
+                a = (trans.T @ a) * own[j]
+            scale[j] = a.sum(axis=0)
+            a = np.divide(a, scale[j], out=alpha[j])
+        beta, p, pairs = np.ones((k, n)), np.empty((t, k, n)), np.zeros((k, k))
         for j in range(t - 1, -1, -1):
-            p[:, j] = alpha[:, j] * beta
+            np.multiply(alpha[j], beta, out=p[j])
             if j:
-                right = own[:, j] * beta / scale[:, j, None]
-                pairs += (alpha[:, j - 1].T @ right) * trans
-                beta = right @ trans.T
-        return np.log(scale).sum(axis=1) + top.sum(axis=(1, 2)), p, pairs
+                right = own[j] * beta / scale[j]
+                pairs += (alpha[j - 1] @ right.T) * trans
+                beta = trans @ right
+        return np.log(scale).sum(axis=0) + top.sum(axis=(0, 1)), p, pairs
+
+    def step(self, ids: np.ndarray, gold: np.ndarray) -> tuple[float, dict[str, np.ndarray]]:
+        """Mean negative log likelihood a character, and its gradient; ids and gold: time x batch."""
+        e, (both, runs) = self.emissions(ids)
+        t, k, n = e.shape
+        log_z, p, pairs = self.forward_backward(e)
+        hot = (gold[:, None] == np.arange(k)[:, None]).astype(np.float32)
+        gold_score = (e * hot).sum() + self._potentials()[gold[:-1], gold[1:]].sum()
+        size = t * n
+        seen = np.bincount((gold[:-1] * k + gold[1:]).ravel(), minlength=k * k).reshape(k, k)
+        de = ((p - hot) / size).astype(np.float32)
+        grad = {"T": (pairs - seen) / size * self.allowed, "o": de.sum(axis=(0, 2)), "O": np.matmul(de, both.transpose(0, 2, 1)).sum(axis=0), "E": np.zeros_like(self.p["E"])}
+        d_both = np.matmul(np.ascontiguousarray(self.p["O"].T), de)
+        h = self.settings.hidden
+        for at, (d, order, kept) in enumerate(runs):
+            self._lstm_gradient(ids, d, order, d_both[:, at * h : (at + 1) * h], *kept[1:], grad)
+        return float((log_z.sum() - gold_score) / size), grad
+
+    # -- decoding
+
+    def prepare(self) -> dict[str, tuple[np.ndarray, ...]]:
+        """For fast(): weights by which one hyperbolic tangent serves all gates.
+
+        A logistic of x is (1 + tanh(x / 2)) / 2; states are kept doubled, so that neither the sum nor the half is spelled out.
+        """
+        h = self.settings.hidden
+        half = np.concatenate([np.full(3 * h, 0.5, np.float32), np.ones(h, np.float32)])[:, None]
+        of = lambda d: np.concatenate([self.p[f"W{d}"][:, :h] / 2, self.p[f"W{d}"][:, h:]], axis=1) * half
+        return {d: (self._letters(), np.ascontiguousarray(of(d)), np.ascontiguousarray(self.p["O"][:, i * h : (i + 1) * h] / 2)) for i, d in enumerate("fb")}
+
+    def fast(self, ids: np.ndarray, ready: dict) -> np.ndarray:
+        """emissions() without what training needs, as time x tags x batch; ids: time x batch."""
+        h, (t, n) = self.settings.hidden, ids.shape
+        out = np.empty((t, TAGS, n), np.float32)
+        for d, order in (("f", range(t)), ("b", range(t - 1, -1, -1))):
+            letters, own, part = ready[d]
+            z, a, cell = np.zeros((h + len(letters), n), np.float32), np.empty((4 * h, n), np.float32), np.zeros((h, n), np.float32)
+            state, got, fresh, gates = z[:h], z[h:], a[:h], a[: 3 * h]
+            for j in order:
+                np.take(letters, ids[j], axis=1, out=got, mode="clip")
+                np.matmul(own, z, out=a)
+                np.tanh(a, out=a)
+                gates += 1
+                cell *= a[h : 2 * h]
+                fresh *= a[3 * h :]
+                cell += fresh
+                cell *= 0.5
+                np.tanh(cell, out=state)
+                state *= a[2 * h : 3 * h]
+                if d == "f":
+                    np.matmul(part, state, out=out[j])
+                else:
+                    out[j] += part @ state
+        out += self.p["o"][:, None]
+        return out
+
+    def above_none(self, e: np.ndarray) -> np.ndarray:
+        """Which sequences have a tagging with spans that beats "outside" throughout: first a bound by position, then the best score exactly."""
+        t = self._potentials() - self.p["T"][0, 0]
+        step = np.maximum(t.max(axis=0), 0) + np.maximum(t[:, 0], 0)  # what a tag's own and the next transition may gain
+        gain = e - e[:, :1]
+        rows = np.flatnonzero((gain[:, 1:] + step[1:, None] > 0).any(axis=(0, 1)))
+        gain = np.ascontiguousarray(gain[:, :, rows])
+        ends = np.append(0, np.arange(1, TAGS, 2))
+        into, begin, inner = t[:, ends].astype(np.float32)[:, :, None], t[range(1, TAGS, 2), range(2, TAGS, 2)].astype(np.float32)[:, None], t[range(2, TAGS, 2), range(2, TAGS, 2)].astype(np.float32)[:, None]
+        score = np.where(self.allowed[0][:, None], gain[0], np.float32(-1e4))
+        for j in range(1, len(gain)):
+            new = np.empty_like(score)
+            new[ends] = (score[:, None] + into).max(axis=0)
+            new[2::2] = np.maximum(score[1::2] + begin, score[2::2] + inner)
+            score = np.add(new, gain[j], out=new)
+        return rows[score.max(axis=0) > 1e-4] if len(rows) else rows
 
     def viterbi(self, e: np.ndarray) -> np.ndarray:
-        n, t, k = e.shape
-        trans = self._potentials()
-        score, back = np.where(self.allowed[0], e[:, 0], -1e4), np.empty((n, t, k), np.int8)
+        """The best tags, time x batch."""
+        t, k, n = e.shape
+        trans = self._potentials()[:, :, None]
+        score, back = np.where(self.allowed[0][:, None], e[0], -1e4), np.empty((t, k, n), np.int8)
         for j in range(1, t):
-            both = score[:, :, None] + trans
-            back[:, j] = both.argmax(axis=1)
-            score = both.max(axis=1) + e[:, j]
-        tags = np.empty((n, t), np.int64)
-        tags[:, -1] = score.argmax(axis=1)
+            both = score[:, None] + trans
+            back[j] = both.argmax(axis=0)
+            score = both.max(axis=0) + e[j]
+        tags = np.empty((t, n), np.int64)
+        tags[-1] = score.argmax(axis=0)
         for j in range(t - 1, 0, -1):
-            tags[:, j - 1] = back[np.arange(n), j, tags[:, j]]
+            tags[j - 1] = back[j, tags[j], np.arange(n)]
         return tags
 
-    def step(self, ids: np.ndarray, gold: np.ndarray) -> tuple[float, dict[str, np.ndarray]]:
-        """Mean negative log likelihood a character, and its gradient."""
-        e, both, x, kf, kb = self.emissions(ids, keep=True)
-        n, t, k = e.shape
-        log_z, p, pairs = self.forward_backward(e)
-        hot = np.eye(k)[gold]
-        trans = self._potentials()
-        gold_score = (e * hot).sum(axis=(1, 2)) + trans[gold[:, :-1], gold[:, 1:]].sum(axis=1)
-        size = n * t
-        grad = {"T": (pairs - np.bincount((gold[:, :-1] * k + gold[:, 1:]).ravel(), minlength=k * k).reshape(k, k)) / size * self.allowed}
-        de = ((p - hot) / size).astype(np.float32)
-        grad["O"], grad["o"] = np.einsum("nth,ntk->hk", both, de), de.sum(axis=(0, 1))
-        d_both = de @ self.p["O"].T
-        h, dx = self.settings.hidden, np.zeros_like(x)
-        for d, kept, d_out, order in (("f", kf, d_both[:, :, :h], slice(None)), ("b", kb, d_both[:, ::-1, h:], slice(None, None, -1))):
-            da_all = np.empty((n, t, 4 * h), np.float32)
-            dh, dc = np.zeros((n, h), np.float32), np.zeros((n, h), np.float32)
-            gh = np.zeros_like(self.p[f"H{d}"])
-            for j in range(t - 1, -1, -1):
-                s, u, tc, state, cell = kept[j]
-                i, f, o = s[:, :h], s[:, h : 2 * h], s[:, 2 * h :]
-                dh = dh + d_out[:, j]
-                dc = dc + dh * o * (1 - tc * tc)
-                da = np.concatenate([dc * u * i * (1 - i), dc * cell * f * (1 - f), dh * tc * o * (1 - o), dc * i * (1 - u * u)], axis=1)
-                da_all[:, j] = da
-                gh += state.T @ da
-                dh, dc = da @ self.p[f"H{d}"].T, dc * f
-            own = x[:, order]
-            grad[f"H{d}"], grad[f"X{d}"], grad[f"c{d}"] = gh, np.einsum("nte,ntg->eg", own, da_all), da_all.sum(axis=(0, 1))
-            dx += (da_all @ self.p[f"X{d}"].T)[:, order]
-        grad["E"] = np.zeros_like(self.p["E"])
-        np.add.at(grad["E"], ids, dx)
-        return float((log_z - gold_score).sum() / size), grad
-
 
 def train_pii(lines: list[tuple[str, list[Span]]] | None = None, settings: PiiSettings = PiiSettings()) -> PiiModel:
     """Adam on windows of the labelled lines."""
-    model, size = PiiModel(settings), settings.window
+    model, size = PiiModel(settings), settings.train_window
     ids, gold = [], []
     for text, spans in labelled_lines(settings.lines) if lines is None else lines:
         tags = np.zeros(len(text), np.int64)
@@ -289,7 +409,7 @@ def train_pii(lines: list[tuple[str, list[Span]]] | None = None, settings: PiiSe
             tags[a] = 1 + 2 * k
         own = characters(text)
         for lo in range(0, max(1, len(own)), size // 2):
-            part, mark = own[lo : lo + size], tags[lo : lo + size].copy()
+            part, mark = own[lo : lo + size].astype(np.int64), tags[lo : lo + size].copy()
             if len(part) < size // 2 and lo:
                 break
             inside = (mark > 0) & (mark % 2 == 0)
@@ -299,15 +419,15 @@ def train_pii(lines: list[tuple[str, list[Span]]] | None = None, settings: PiiSe
             gold.append(np.pad(mark, (0, size - len(mark))))
     if not ids:
         return model
-    x, y = np.array(ids), np.array(gold)
+    x, y = np.array(ids).T.copy(), np.array(gold).T.copy()
     rng = np.random.default_rng(settings.seed)
     m1, m2, n = {k: np.zeros_like(v) for k, v in model.p.items()}, {k: np.zeros_like(v) for k, v in model.p.items()}, 0
-    total = settings.epochs * -(-len(x) // settings.batch)
+    total = settings.epochs * -(-x.shape[1] // settings.batch)
     for _ in range(settings.epochs):
-        order = rng.permutation(len(x))
-        for lo in range(0, len(x), settings.batch):
+        order = rng.permutation(x.shape[1])
+        for lo in range(0, len(order), settings.batch):
             own = order[lo : lo + settings.batch]
-            _, grad = model.step(x[own], y[own])
+            _, grad = model.step(x[:, own], y[:, own])
             n += 1
             rate = settings.rate * min(1.0, 1.2 - n / total)
             for k, g in grad.items():
@@ -318,86 +438,83 @@ def train_pii(lines: list[tuple[str, list[Span]]] | None = None, settings: PiiSe
     return model
 
 
-def default_model() -> PiiModel:
-    """Trained once in a process, from the made-up lines."""
-    kept = sys.modules.setdefault("_panelwright_pii", types.ModuleType("_panelwright_pii")).__dict__
-    if "model" not in kept:
-        kept["model"] = train_pii()
-    return kept["model"]
-
-
 # ---- decoding -------------------------------------------------------------------------------------------------
 
 
-def windows(text: str, settings: PiiSettings) -> list[int]:
-    """Starts of windows, half a window apart, that cover every digit and at sign with the margin on both sides."""
-    out: list[int] = []
-    covered = 0
-    for m in _TRIGGER.finditer(text):
-        lo, hi = max(0, m.start() - settings.margin), m.end() + settings.margin
-        at = max(lo, covered - settings.window // 2) if out and lo < covered else lo
-        while covered < hi:
-            out.append(at)
-            covered = at + settings.window
-            at += settings.window // 2
-    return out
+def windows(lengths: np.ndarray, settings: PiiSettings) -> tuple[np.ndarray, np.ndarray]:
+    """(text, start) of windows that cover each text whole and overlap by two margins."""
+    step = settings.window - 2 * settings.margin
+    each = np.where(lengths > 0, 1 + np.maximum(0, -(-(lengths - settings.window) // step)), 0)
+    text = np.repeat(np.arange(len(lengths)), each)
+    return text, (np.arange(len(text)) - np.repeat(np.cumsum(each) - each, each)) * step
 
 
 def plausible(kind: int, own: str) -> bool:
-    """What the kind's form asks for at least: the network weighs the context, this keeps it to the four kinds."""
+    """What a kind has at least: signs or their names, or a number of digits. Whether it is one is for the network to say."""
     digits = len(_DIGIT.findall(own))
     if kind == 0:
-        return own.count("@") == 1 and "." in own.partition("@")[2] and not re.search(r"\s", own)
+        return bool(_AT.search(own) and _DOT.search(own))
     if kind == 1:
-        return bool(re.fullmatch(r"[0-9]{1,3}(\.[0-9]{1,3}){3}", own))
-    if kind == 2:
-        return 16 <= digits <= 19 and luhn("".join(_DIGIT.findall(own))) and not re.search(r"[^0-9 .-]", own)
-    return 8 <= digits <= 15 and not re.search(r"[^0-9 ().+/-]", own) and bool(re.search(r"[ ().+-]", own))
-
-
-def method_spans(texts: list[str], model: PiiModel, at_a_time: int = 1024) -> list[list[tuple[float, int, Span]]]:
-    """For each text the decoded (probability, distance to the window's nearer edge, span), all windows' together."""
-    settings = model.settings
-    places = [(i, a) for i, text in enumerate(texts) for a in windows(text, settings)]
-    out: list[list] = [[] for _ in texts]
-    for lo in range(0, len(places), at_a_time):
-        part = places[lo : lo + at_a_time]
-        ids = np.full((len(part), settings.window), 10, np.int64)
-        for r, (i, a) in enumerate(part):
-            own = characters(texts[i][a : a + settings.window])
-            ids[r, : len(own)] = own
-        e = model.emissions(ids)
-        tags = model.viterbi(e)
-        rows = np.flatnonzero((tags > 0).any(axis=1))
+        return digits >= 4 if re.search(r"\.", own) else own.count(":") >= 2
+    return 13 <= digits <= 19 if kind == 2 else 8 <= digits <= 15
+
+
+def method_spans(points: np.ndarray, offsets: np.ndarray, model: PiiModel, ready: dict, at_a_time: int = 1024) -> list[tuple[int, float, int, Span]]:
+    """(text, probability, distance to the window's nearer edge, span) of all windows of the texts, one after another in points.
+
+    points: the classes of the texts' characters; offsets: the n + 1 ends of the texts. A window whose best tagging is
+    "outside" throughout has no span, and is not decoded further.
+    """
+    settings, lengths = model.settings, np.diff(offsets)
+    text, start = windows(lengths, settings)
+    size = np.minimum(settings.window, lengths[text] - start)
+    order = np.argsort(-size, kind="stable")
+    out: list[tuple[int, float, int, Span]] = []
+    for lo in range(0, len(order), at_a_time):
+        part = order[lo : lo + at_a_time]
+        wide = int(size[part[0]])
+        column = np.arange(wide)
+        inside = column < size[part][:, None]
+        first = (offsets[text[part]] + start[part])[:, None]
+        ids = np.where(inside, points[np.minimum(first + column, len(points) - 1)], 10)
+        e = model.fast(np.ascontiguousarray(ids.T, np.int64), ready)
+        rows = model.above_none(e)
         if not len(rows):
             continue
-        _, p, _ = model.forward_backward(e[rows])
-        sure = np.take_along_axis(p, tags[rows][:, :, None], axis=2)[:, :, 0]
-        for r, row in enumerate(rows.tolist()):
-            i, a = part[row]
-            own, j = tags[row], 0
-            while j < settings.window:
-                if own[j] % 2 == 1:
-                    end = j + 1
-                    while end < settings.window and own[end] == own[j] + 1:
-                        end += 1
-                    left = j if a else settings.window
-                    right = settings.window - end if a + settings.window < len(texts[i]) else settings.window
-                    out[i].append((float(sure[r, j:end].min()), min(left, right), (int(own[j]) // 2, a + j, min(a + end, len(texts[i])))))
-                    j = end
-                else:
-                    j += 1
+        e = np.ascontiguousarray(e[:, :, rows])
+        tags = model.viterbi(e)
+        _, p, _ = model.forward_backward(e)
+        sure = np.take_along_axis(p, tags[:, None], axis=1)[:, 0].T
+        tags = tags.T
+        for r, row in enumerate(part[rows].tolist()):
+            i, a, end_of = int(text[row]), int(start[row]), int(lengths[text[row]])
+            own, last = tags[r], int(size[row])
+            begins = np.flatnonzero(own[:last] % 2 == 1)
+            for j in begins.tolist():
+                end = j + 1
+                while end < last and own[end] == own[j] + 1:
+                    end += 1
+                left = j if a else settings.window
+                right = last - end if a + last < end_of else settings.window
+                out.append((i, float(sure[r, j:end].min()), min(left, right), (int(own[j]) // 2, a + j, a + end)))
     return out
 
 
 def reconcile(text: str, base: list[Span], found: list[tuple[float, int, Span]], least: float) -> list[Span]:
-    """The base spans, and of the network's those that are sure, plausible, and clear of all spans taken before them."""
-    taken = [(a, b) for _, a, b in base]
-    out = list(base)
+    """The base spans, and of the network's those that are sure, plausible, and clear of all spans taken before them.
+
+    White space and closing marks at a span's ends are cut off. Spans further from their window's edges go first.
+    """
+    taken, out = sorted((a, b) for _, a, b in base), list(base)
     for p, edge, (k, a, b) in sorted(set(found), key=lambda x: (-min(x[1], 8), -x[0], x[2])):
-        if p >= least and edge > 0 and all(b <= c or d <= a for c, d in taken) and plausible(k, text[a:b]):
-            out.append((k, a, b))
-            taken.append((a, b))
+        own = text[a:b]
+        a += len(own) - len(own.lstrip(" \t\n\r.,;:!?"))
+        b -= len(own) - len(own.rstrip(" \t\n\r.,;:!?#$&%*"))
+        if p >= least and edge > 0 and a < b and plausible(k, text[a:b]):
+            at = bisect.bisect_left(taken, (a, b))
+            if (at == len(taken) or taken[at][0] >= b) and (at == 0 or taken[at - 1][1] <= a):
+                out.append((k, a, b))
+                taken.insert(at, (a, b))
     return sorted(out)
 
 
@@ -450,23 +567,35 @@ def mask_pii(docs: DataFrame, text: str = "text", n_chars: str | None = "n_chars
 
 
 def searcher(docs: DataFrame, model: PiiModel | None = None):
-    """A function for the executors: (base spans, all spans) of each row of a text column."""
-    shared = docs.sparkSession.sparkContext.broadcast(model or default_model())
+    """A function for the executors: (base spans, all spans) of each row of a text column. Without a model, one is trained now."""
+    shared = share(docs.sparkSession, model or train_pii())
     trigger = np.zeros(256, bool)
     trigger[[*range(48, 58), 64]] = True
 
     def search(column: pa.Array) -> tuple[list[list[Span]], list[list[Span]]]:
-        own, n = shared.value, len(column)
+        own, n = shared(), len(column)
+        ready = own.prepare()
         data, offsets = text_bytes(column)
-        rows = np.unique(np.searchsorted(offsets, np.flatnonzero(trigger[data]), "right") - 1).tolist()
         base: list[list[Span]] = [[] for _ in range(n)]
         spans: list[list[Span]] = [[] for _ in range(n)]
-        for lo in range(0, len(rows), 256):
-            part = rows[lo : lo + 256]
-            texts = [column[i].as_py() for i in part]
-            for i, content, found in zip(part, texts, method_spans(texts, own)):
-                base[i] = base_spans(content)
-                spans[i] = reconcile(content, base[i], found, own.settings.least)
+        lo = 0
+        while lo < n:
+            hi = max(lo + 1, int(np.searchsorted(offsets, offsets[lo] + STEP_BYTES, "right")) - 1)
+            part = data[offsets[lo] : offsets[hi]]
+            before = np.concatenate([[0], np.cumsum((part & 0xC0) != 0x80)])  # code points before each byte
+            content = part.tobytes().decode("utf-8", "replace")
+            if len(content) != before[-1]:
+                raise ValueError("text is not UTF-8")
+            ends = before[offsets[lo : hi + 1] - offsets[lo]]
+            found: dict[int, list] = {}
+            for i, *rest in method_spans(characters(content), ends, own, ready):
+                found.setdefault(i, []).append(tuple(rest))
+            rows = set((np.searchsorted(offsets, offsets[lo] + np.flatnonzero(trigger[part]), "right") - 1 - lo).tolist())
+            for i in sorted(rows | found.keys()):
+                text = content[ends[i] : ends[i + 1]]
+                base[lo + i] = base_spans(text) if i in rows else []
+                spans[lo + i] = reconcile(text, base[lo + i], found.get(i, []), own.settings.least)
+            lo = hi
         return base, spans
 
     return search

@@ -1,8 +1,13 @@
 """Each operator on awkward documents, on none, and against a plain version."""
 
 import hashlib
+import itertools
+import math
+import os
 import random
 import re
+import subprocess
+import sys
 import zlib
 from collections import Counter, defaultdict
 from fractions import Fraction
@@ -351,6 +356,46 @@ def test_toxic_held_out_and_spans(spark, docs, none):
     assert toxic_crf.tag_toxic(docs, toxic_crf.train_toxic(none, marks.limit(0))).where("predicted = 1").count() == 0
 
 
+def test_toxic_marginals_equal_trying_all_labels():
+    rng = np.random.default_rng(0)
+    for lengths in ([1], [2, 1, 3], [4, 0, 2, 3]):
+        scores, trans, start = rng.normal(size=sum(lengths)), rng.normal(size=(2, 2)), rng.normal(size=2)
+        p, pairs, firsts = toxic_crf.marginals(scores, np.cumsum([0, *lengths])[:-1], trans, start, with_pairs=True)
+        want, want_pairs, want_firsts, at = np.zeros(len(scores)), np.zeros((2, 2)), np.zeros(2), 0
+        for n in filter(None, lengths):
+            paths = {y: math.exp(start[y[0]] + sum(scores[at + i] * y[i] for i in range(n)) + sum(trans[y[i], y[i + 1]] for i in range(n - 1))) for y in itertools.product((0, 1), repeat=n)}
+            for y, w in paths.items():
+                w /= sum(paths.values())
+                want[at : at + n] += w * np.array(y)
+                want_firsts[y[0]] += w
+                for i in range(n - 1):
+                    want_pairs[y[i], y[i + 1]] += w
+            at += n
+        assert np.allclose(p, want) and np.allclose(pairs, want_pairs) and np.allclose(firsts, want_firsts)
+
+
+FOREIGN = """
+import sys
+sys.path.insert(0, sys.argv[1])
+from panelwright.session import session
+from panelwright.llm import language_id, pii, toxic_crf
+spark = session("local[2]", 2)
+docs = spark.createDataFrame([(i, "the house is big and old, mail a.b@example.com" if i % 2 else "das haus ist sehr gross und alt", "en" if i % 2 else "de") for i in range(40)], "doc_id long, text string, lang string")
+assert pii.find_pii(docs, model=pii.PiiModel(pii.PiiSettings())).where("n_email = 1").count() == 20
+assert language_id.predict_language(docs, language_id.train_language(docs)).where("lang_pred = 'de'").count() == 20
+assert toxic_crf.tag_toxic(docs, toxic_crf.fit_toxic(["you knave"] * 9 + ["good day"] * 9, [1] * 9 + [0] * 9)).where("score BETWEEN 0 AND 1").count() == 40
+"""
+
+
+def test_executors_need_no_package(tmp_path):
+    """Workers that cannot import the package, as on a cluster where only the driver holds it."""
+    own = {k: v for k, v in os.environ.items() if k != "PYTHONPATH"}
+    (tmp_path / "foreign.py").write_text(FOREIGN)
+    root = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
+    done = subprocess.run([sys.executable, "foreign.py", root], cwd=tmp_path, env=own, capture_output=True, text=True, timeout=300)
+    assert done.returncode == 0, done.stderr[-3000:]
+
+
 def base_plain(text):
     out = []
     patterns = (r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", r"[0-9]([\x20-]?[0-9])+", r"\+[0-9][\x20().0-9-]+[0-9]")
@@ -374,35 +419,74 @@ def test_pii_gradient():
     model = pii.PiiModel(pii.PiiSettings(window=8, hidden=3, embed=2))
     model.p = {k: v.astype(np.float64) for k, v in model.p.items()}
     rng = np.random.default_rng(0)
-    ids, gold = rng.integers(0, 127, (2, 8)), np.array([[0, 1, 2, 2, 0, 3, 4, 0], [0, 0, 5, 6, 6, 0, 7, 8]])
+    ids, gold = rng.integers(0, 127, (8, 2)), np.array([[0, 1, 2, 2, 0, 3, 4, 0], [0, 0, 5, 6, 6, 0, 7, 8]]).T
     _, grad = model.step(ids, gold)
-    for k, at in (("E", (ids[0, 2], 1)), ("O", (1, 2)), ("T", (0, 1)), ("Xf", (1, 4)), ("Hb", (2, 5)), ("cf", (3,))):
+    for k, at in (("E", (ids[2, 0], 1)), ("O", (1, 2)), ("T", (0, 1)), ("Wf", (4, 1)), ("Wb", (5, 2)), ("Wf", (3, -1)), ("Wb", (9, 4))):
         held = model.p[k][at]
-        model.p[k][at] = held + 1e-4
+        model.p[k][at] = held + 1e-3
         up, _ = model.step(ids, gold)
-        model.p[k][at] = held - 1e-4
+        model.p[k][at] = held - 1e-3
         down, _ = model.step(ids, gold)
         model.p[k][at] = held
-        assert abs((up - down) / 2e-4 - grad[k][at]) < 1e-5
+        assert abs((up - down) / 2e-3 - grad[k][at]) < 1e-5
+    assert np.abs(model.emissions(ids)[0] - model.fast(ids, model.prepare())).max() < 1e-5
+
+
+def test_pii_decoding_equals_trying_all_tags():
+    model, rng = pii.PiiModel(pii.PiiSettings(hidden=3, embed=2)), np.random.default_rng(4)
+    model.p["T"] = rng.normal(0, 1, model.p["T"].shape)
+    e = rng.normal(0, 2, (4, pii.TAGS, 20))
+    e[:, 0] += 3
+    trans, best = model._potentials(), []
+    for b in range(e.shape[2]):
+        paths = [y for y in itertools.product(range(pii.TAGS), repeat=4) if model.allowed[0][y[0]]]
+        best.append(max(paths, key=lambda y: sum(e[j, y[j], b] for j in range(4)) + sum(trans[y[j], y[j + 1]] for j in range(3))))
+    assert model.viterbi(e).T.tolist() == [list(y) for y in best]
+    assert set(model.above_none(e).tolist()) == {b for b, y in enumerate(best) if any(y)} and 0 < sum(map(any, best)) < len(best)
+
+
+def test_pii_windows_cover_and_reconcile():
+    settings = pii.PiiSettings(window=16, margin=4)
+    text, start = pii.windows(np.array([0, 1, 16, 17, 100]), settings)
+    for i, n in enumerate((0, 1, 16, 17, 100)):
+        own = start[text == i].tolist()
+        assert set(range(n)) == {p for a in own for p in range(a, min(a + 16, n))} and all(b - a == 8 for a, b in zip(own, own[1:]))
+    content = "call 030 1234567 or 030 7654321 now"
+    found = [(0.99, 1, (3, 5, 12)), (0.95, 8, (3, 5, 16)), (0.5, 9, (3, 20, 31)), (0.99, 0, (3, 20, 31))]
+    assert pii.reconcile(content, [], found, 0.9) == [(3, 5, 16)]
+    assert pii.reconcile(content, [(3, 4, 6)], found, 0.9) == [(3, 4, 6)]
+    assert pii.reconcile(content, [], [(0.95, 8, (3, 19, 31)), (0.95, 8, (3, 31, 35))], 0.9) == [(3, 20, 31)]
+
+
+def spans_of(model, text, base):
+    points = pii.characters(text)
+    found = pii.method_spans(points, np.array([0, len(points)]), model, model.prepare())
+    return pii.reconcile(text, base, [tuple(x) for _, *x in found], model.settings.least)
 
 
 def test_pii_network_and_masks(docs, none):
-    model = pii.default_model()
-    lines = pii.labelled_lines(200, seed=99)
-    hit = found = real = 0
-    for (text, spans), raw in zip(lines, pii.method_spans([t for t, _ in lines], model)):
-        own = set(pii.reconcile(text, [], raw, model.settings.least))
-        hit, found, real = hit + len(own & set(spans)), found + len(own), real + len(spans)
-    assert hit >= 0.9 * real and hit >= 0.97 * found
+    """Recall on held-out lines with the network and without, by overlap; then the operators."""
+    model = pii.train_pii()
+    met = lambda s, others: any(s[1] < o[2] and o[1] < s[2] for o in others)
+    real = by_patterns = by_all = wrong = 0
+    for text, spans in pii.labelled_lines(200, seed=99):
+        base = pii.base_spans(text)
+        both = spans_of(model, text, base)
+        real, by_patterns, by_all = real + len(spans), by_patterns + sum(met(s, base) for s in spans), by_all + sum(met(s, both) for s in spans)
+        wrong += sum(not met(s, spans) for s in both if s not in base)
+    assert by_patterns < 0.45 * real and by_all > 0.8 * real and wrong <= 0.01 * real
+    far = LONG + " write to jane dot doe at mail dot example dot org today " + LONG  # in no first window, whole text read
+    assert any(k == 0 and "jane dot doe at mail" in far[a:b] for k, a, b in spans_of(model, far, []))
     got = {r["doc_id"]: r for r in pii.find_pii(docs, model=model).collect()}
     texts = dict(TEXTS)
     assert {i: r["base_sha256"] for i, r in got.items()} == {i: hashlib.sha256(pii.spell(base_plain(texts[i] or "")).encode()).hexdigest() for i in got}
     assert (got[11]["n_email"], got[11]["n_ip"], got[11]["n_card"], got[11]["n_phone"]) == (1, 1, 1, 1)
     assert set(got[11]["spans"].split(",")) >= set(pii.spell(base_plain(texts[11])).split(","))
+    assert all(not got[i]["spans"] for i in (1, 4, 5, 6, 9, 13))
     masked = {r["doc_id"]: r for r in pii.mask_pii(docs, model=model).collect()}
     assert masked[11]["text"] == "mail me at <EMAIL> or <PHONE> from <IP> with <CARD>" and masked[11]["n_chars"] == len(masked[11]["text"])
-    assert masked[4]["text"] is None and masked[9]["text"] == LONG and pii.mask_pii(docs).columns == docs.columns
-    assert pii.find_pii(none).count() == 0
+    assert masked[4]["text"] is None and masked[9]["text"] == LONG and pii.mask_pii(docs, model=model).columns == docs.columns
+    assert pii.find_pii(none, model=model).count() == 0
 
 
 # ---- mixing ---------------------------------------------------------------------------------------------------
