@@ -1,8 +1,10 @@
 """Quality rules: word statistics by fixed rules, and robust multivariate outliers among them. DataFrame functions only.
 
 The statistics of a document become a vector of logarithms. For each language and source the minimum-covariance-
-determinant estimate is found by concentration steps: from medians and absolute deviations, the share of documents
-with the least Mahalanobis distances is taken, its mean and covariance are the next estimate, and so on. Vectors are
+determinant estimate is found by concentration steps from two starts, medians with absolute deviations and means with
+the plain covariance: the share of documents with the least Mahalanobis distances is taken, its mean and covariance
+are the next estimate, and so on until no determinant changes; the lesser determinant wins. Estimates are broadcast
+where the counted groups are few, else joined by salted keys, so that a hot group's rows stay spread. Vectors are
 rounded to thousandths and summed as whole numbers, and the cut between near and far documents is an exact percentile
 of rounded distances, so that results don't depend on how rows are dealt out, and each step moves one row per group
 and task. A fixed floor keeps the covariance regular where most documents have no symbols or repeats at all.
@@ -23,16 +25,20 @@ WORD = r"[^\x20\x09-\x0D]+"
 SCALE = 1000
 #: The group of all documents; a language's and a source's begin with a brace.
 CORPUS = ""
+#: Groups up to which a table with one row a group is broadcast; beyond, a group's rows meet it under so many salts.
+FEW_GROUPS, SALTS = 20_000, 32
 VARIABLES = ("words", "length", "symbols", "lines", "repeats")
 STATISTICS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
 
 
 @dataclass(frozen=True)
 class McdSettings:
-    """share: of a group's documents that the estimate rests on. floors: least standard deviation of each variable."""
+    """share: of a group's documents that the estimate rests on. floors: least standard deviation of each variable.
+    steps: concentration steps at most; they end when no logarithm of a determinant changes by more than settled."""
 
     share: float = 0.75
-    steps: int = 4
+    steps: int = 12
+    settled: float = 1e-6
     confidence: float = 0.9999
     least_group: int = 40
     floors: tuple[float, ...] = (0.25, 0.1, 0.4, 0.5, 0.6)
@@ -126,9 +132,18 @@ def _root(estimate: DataFrame, settings: McdSettings, factor: float) -> DataFram
     return estimate
 
 
-def _distances(rows: DataFrame, estimate: DataFrame) -> DataFrame:
+def _with_group(rows: DataFrame, groups: DataFrame, few: bool, how: str = "inner") -> DataFrame:
+    """rows joined with the rows of a small table by grp, without gathering a group's rows in one task."""
+    if few:
+        return rows.join(F.broadcast(groups), "grp", how)
+    salted = rows.withColumn("salt", F.pmod(F.xxhash64(*rows.columns), F.lit(SALTS)).cast("int"))
+    spread = groups.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    return salted.join(spread, ["grp", "salt"], how).drop("salt")
+
+
+def _distances(rows: DataFrame, estimate: DataFrame, few: bool, how: str = "inner") -> DataFrame:
     """rows with d2, the squared Mahalanobis distance under their group's estimate."""
-    out = rows.join(estimate, "grp", "left")
+    out = _with_group(rows, estimate, few, how)
     for i, v in enumerate(VARIABLES):
         z = F.col(f"x_{v}") / SCALE - F.col(f"m_{i}")
         for k in range(i):
@@ -137,27 +152,41 @@ def _distances(rows: DataFrame, estimate: DataFrame) -> DataFrame:
     return out.withColumn("d2", sum((F.col(f"z_{i}") * F.col(f"z_{i}") for i in range(1, len(VARIABLES))), F.col("z_0") * F.col("z_0")))
 
 
-def _estimate(rows: DataFrame, settings: McdSettings) -> DataFrame:
+def _moments(rows: DataFrame, *keys: str) -> DataFrame:
+    """Mean m_i and covariance c_ij of the vectors by keys, from sums of whole numbers."""
+    n, names = len(VARIABLES), [f"x_{v}" for v in VARIABLES]
+    sums = [F.count("*").alias("n"), *[F.sum(x).alias(f"s_{i}") for i, x in enumerate(names)]]
+    sums += [F.sum(F.col(names[i]) * F.col(names[j])).alias(f"q_{i}_{j}") for i in range(n) for j in range(i + 1)]
+    mean = [(F.col(f"s_{i}") / F.col("n") / SCALE).alias(f"m_{i}") for i in range(n)]
+    moment = [(F.col(f"q_{i}_{j}") / F.col("n") / SCALE**2 - F.col(f"s_{i}") / F.col("n") / SCALE * F.col(f"s_{j}") / F.col("n") / SCALE).alias(f"c_{i}_{j}") for i in range(n) for j in range(i + 1)]
+    return rows.groupBy(*keys).agg(*sums).select(*keys, *mean, *moment)
+
+
+def _estimate(rows: DataFrame, settings: McdSettings, few: bool) -> DataFrame:
     """One row a group: mean m_i and root l_ij of the covariance of the documents it rests on, corrected for their choice."""
     n, p = len(VARIABLES), settings.share
     names = [f"x_{v}" for v in VARIABLES]
     middle = rows.groupBy("grp").agg(*[F.percentile(F.round(F.col(x), -1), F.lit(0.5)).alias(f"mid_{i}") for i, x in enumerate(names)])
-    spread = rows.join(middle, "grp").groupBy("grp", *[f"mid_{i}" for i in range(n)]).agg(*[F.percentile(F.abs(F.round(F.col(x), -1) - F.col(f"mid_{i}")), F.lit(0.5)).alias(f"mad_{i}") for i, x in enumerate(names)])
-    start = [(F.col(f"mid_{i}") / SCALE).alias(f"m_{i}") for i in range(n)]
-    start += [(F.pow(F.col(f"mad_{i}") * 1.4826 / SCALE, F.lit(2.0)) if i == j else F.lit(0.0)).alias(f"c_{i}_{j}") for i in range(n) for j in range(i + 1)]
-    estimate = cut(_root(spread.select("grp", *start), settings, 1.0))
+    spread = _with_group(rows, cut(middle), few).groupBy("grp", *[f"mid_{i}" for i in range(n)]).agg(*[F.percentile(F.abs(F.round(F.col(x), -1) - F.col(f"mid_{i}")), F.lit(0.5)).alias(f"mad_{i}") for i, x in enumerate(names)])
+    robust = [(F.col(f"mid_{i}") / SCALE).alias(f"m_{i}") for i in range(n)]
+    robust += [(F.pow(F.col(f"mad_{i}") * 1.4826 / SCALE, F.lit(2.0)) if i == j else F.lit(0.0)).alias(f"c_{i}_{j}") for i in range(n) for j in range(i + 1)]
+    starts = spread.select("grp", F.lit(0).alias("start"), *robust).unionByName(_moments(rows, "grp").withColumn("start", F.lit(1)))
+    size = 2 * sum((F.log(F.col(f"l_{i}_{i}")) for i in range(1, n)), F.log(F.col("l_0_0")))
+    estimate = cut(_root(starts, settings, 1.0).withColumn("size", size))
     factor = p / chi_square_cdf(chi_square_quantile(p, n), n + 2)
     for _ in range(settings.steps):
-        far = _distances(rows, estimate).select("grp", *names, F.round(F.log(F.col("d2") + 1e-6) * 200).alias("far"))
-        cuts = far.groupBy("grp").agg(F.percentile("far", F.lit(p)).alias("most"))
-        near = far.join(cuts, "grp").where("far <= most")
-        sums = [F.count("*").alias("n"), *[F.sum(x).alias(f"s_{i}") for i, x in enumerate(names)]]
-        sums += [F.sum(F.col(names[i]) * F.col(names[j])).alias(f"q_{i}_{j}") for i in range(n) for j in range(i + 1)]
-        near = near.groupBy("grp").agg(*sums)
-        mean = [(F.col(f"s_{i}") / F.col("n") / SCALE).alias(f"m_{i}") for i in range(n)]
-        moment = [(F.col(f"q_{i}_{j}") / F.col("n") / SCALE**2 - F.col(f"s_{i}") / F.col("n") / SCALE * F.col(f"s_{j}") / F.col("n") / SCALE).alias(f"c_{i}_{j}") for i in range(n) for j in range(i + 1)]
-        estimate = cut(_root(near.select("grp", *mean, *moment), settings, factor))
-    return estimate
+        far = _distances(rows, estimate, few).select("grp", "start", *names, F.round(F.log(F.col("d2") + 1e-6) * 200).alias("far"))
+        cuts = far.groupBy("grp", "start").agg(F.percentile("far", F.lit(p)).alias("most"))
+        near = _with_group(far, cuts.withColumnRenamed("start", "of"), few).where("start = of AND far <= most")
+        new = _root(_moments(near, "grp", "start"), settings, factor).withColumn("size", size)
+        new = cut(new.join(estimate.select("grp", "start", F.col("size").alias("before")), ["grp", "start"]))
+        moved = new.agg(F.max(F.abs(F.col("size") - F.col("before"))).alias("moved")).first()["moved"]
+        estimate = new.drop("before")
+        if moved is None or moved <= settings.settled:
+            break
+    rest = [c for c in estimate.columns if c not in ("grp", "size", "start")]
+    best = F.min_by(F.struct(*rest), F.struct(F.round("size", 9), "start")).alias("best")
+    return cut(estimate.groupBy("grp").agg(best).select("grp", "best.*"))
 
 
 def quality_outliers(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", lang: str = "lang", source: str = "source", settings: McdSettings = McdSettings()) -> DataFrame:
@@ -186,10 +215,12 @@ def quality_outliers(docs: DataFrame, doc_id: str = "doc_id", text: str = "text"
     # a row counts in its own group, and in those of its language and of the corpus if a smaller one falls back on them
     serves = F.filter(F.array(F.when(alone, F.to_json("own")), F.when(together & F.col("lends"), F.col("lang")), F.when(F.col("all_lend"), F.lit(CORPUS))), lambda g: g.isNotNull())
     sizes = cut(sizes.select("own", grp.alias("grp"), serves.alias("serves")))
-    grouped = sound.withColumn("own", named).join(sizes.select("own", "serves"), "own").select(F.explode("serves").alias("grp"), *[f"x_{v}" for v in VARIABLES])
-    estimate = _estimate(grouped, settings)
-    placed = rows.withColumn("own", named).join(sizes.select("own", "grp"), "own", "left")
-    far = _distances(placed, estimate)
+    few = sizes.limit(FEW_GROUPS + 1).count() <= FEW_GROUPS
+    by_own = lambda what, how: _with_group(what.withColumn("grp", named), sizes.select(F.col("own").alias("grp"), F.col("grp").alias("judged_by"), "serves"), few, how)
+    grouped = cut(by_own(sound, "inner").select(F.explode("serves").alias("grp"), *[f"x_{v}" for v in VARIABLES]))
+    estimate = _estimate(grouped, settings, few)
+    placed = by_own(rows, "left").drop("grp", "serves").withColumnRenamed("judged_by", "grp")
+    far = _distances(placed, estimate, few, "left")
     distance = F.when(~F.col("base_failed"), F.sqrt("d2"))
     limit = math.sqrt(chi_square_quantile(settings.confidence, len(VARIABLES)))
     return far.select("doc_id", *STATISTICS, "base_failed", (~F.col("base_failed") & (F.sqrt("d2") <= limit)).alias("kept"), distance.alias("distance"))
