@@ -2,9 +2,11 @@
 
 A shard is one Arrow IPC stream. Each row is one sequence: tokens, a fixed-size list of ids in the narrowest unsigned
 type that holds the vocabulary, and mask, a fixed-size list of bits that are set where a token is real. All batches
-but the last have the same number of rows, so that row i lies in batch i // rows at a known place, and a mapped file
-gives it without a copy. Documents follow each other without padding; only a shard's last row is filled up. Beside
-each shard lies an index stream with the place of every document.
+but the last have the same number of rows and so of bytes, so that row i lies at an offset known from the first batch,
+and a mapped file gives it without a copy and without a look at the batches before it. Documents follow each other
+without padding; only a shard's last row is filled up. Beside each shard lies an index stream with the place of every
+document. A file's name holds the attempt that wrote it and only the manifest says which files count, so that what a
+lost executor left half written, or wrote twice, is never read.
 """
 
 from __future__ import annotations
@@ -22,6 +24,8 @@ from pyspark.sql import functions as F
 from panelwright.llm.common import cut, fresh_folder, only
 from panelwright.llm.encode import encoder
 
+#: The mark that ends a stream.
+END_BYTES = 8
 INDEX = pa.schema([("doc_id", pa.int64()), ("start", pa.int64()), ("n_tokens", pa.int64())])
 
 
@@ -32,16 +36,16 @@ def _place(path: str) -> tuple[fs.FileSystem, str]:
 
 
 class _Writer:
-    """One shard. The files get their names when they are complete, so that a task that dies leaves none."""
+    """One shard and its index."""
 
-    def __init__(self, path: str, length: int, rows: int, kind: np.dtype, attempt: int) -> None:
+    def __init__(self, path: str, length: int, rows: int, kind: np.dtype) -> None:
         self.fs, self.path = _place(path)
-        self.length, self.rows, self.kind, self.own = length, rows, kind, f".{attempt}.part"
+        self.length, self.rows, self.kind = length, rows, kind
         self.fs.create_dir(self.path.rpartition("/")[0], recursive=True)
         self.schema = pa.schema([("tokens", pa.list_(pa.from_numpy_dtype(kind), length)), ("mask", pa.list_(pa.bool_(), length))])
-        self.out = self.fs.open_output_stream(self.path + self.own)
+        self.out = self.fs.open_output_stream(self.path)
         self.stream = ipc.new_stream(self.out, self.schema)
-        self.index_out = self.fs.open_output_stream(self.path + ".index" + self.own)
+        self.index_out = self.fs.open_output_stream(self.path + ".index")
         self.index = ipc.new_stream(self.index_out, INDEX)
         self.held: list[np.ndarray] = []
         self.waiting = self.total = self.documents = 0
@@ -69,10 +73,9 @@ class _Writer:
         if self.waiting:
             flat = np.concatenate(self.held)
             self._write(np.concatenate([flat, np.zeros(-len(flat) % self.length, self.kind)]), len(flat))
-        for stream, out, end in ((self.stream, self.out, ""), (self.index, self.index_out, ".index")):
+        for stream, out in ((self.stream, self.out), (self.index, self.index_out)):
             stream.close()
             out.close()
-            self.fs.move(self.path + end + self.own, self.path + end)
 
 
 class SequenceFile:
@@ -80,18 +83,33 @@ class SequenceFile:
 
     def __init__(self, path: str) -> None:
         system, path = _place(path)
-        source = pa.memory_map(path) if isinstance(system, fs.LocalFileSystem) else system.open_input_file(path)
-        self.batches = list(ipc.open_stream(source))
-        self.rows = self.batches[0].num_rows if self.batches else 1
-        self.length = self.batches[0].schema.field("tokens").type.list_size if self.batches else 0
+        self.source = pa.memory_map(path) if isinstance(system, fs.LocalFileSystem) else system.open_input_file(path)
+        self.schema = ipc.read_schema(ipc.read_message(self.source))
+        self.first = self.source.tell()
+        self.length = self.schema.field("tokens").type.list_size
+        first = ipc.read_record_batch(ipc.read_message(self.source), self.schema)
+        self.rows, self.bytes = first.num_rows, self.source.tell() - self.first
+        self.full, rest = divmod(self.source.size() - END_BYTES - self.first, self.bytes)
+        self.last = self.batch(self.full).num_rows if rest else 0
 
     def __len__(self) -> int:
-        return sum(b.num_rows for b in self.batches)
+        return self.full * self.rows + self.last
+
+    def batch(self, i: int) -> pa.RecordBatch:
+        self.source.seek(self.first + i * self.bytes)
+        return ipc.read_record_batch(ipc.read_message(self.source), self.schema)
+
+    def flat(self, i: int) -> tuple[np.ndarray, np.ndarray]:
+        """Tokens and mask of all rows of a batch, one after the other."""
+        batch = self.batch(i)
+        return batch.column(0).flatten().to_numpy(zero_copy_only=True), batch.column(1).flatten().to_numpy(zero_copy_only=False)
 
     def __getitem__(self, i: int) -> tuple[np.ndarray, np.ndarray]:
-        batch, row = self.batches[i // self.rows], i % self.rows
-        tokens = batch.column(0).flatten().to_numpy(zero_copy_only=True)[row * self.length : (row + 1) * self.length]
-        return tokens, batch.column(1)[row].values.to_numpy(zero_copy_only=False)
+        if not 0 <= i < len(self):
+            raise IndexError(i)
+        tokens, mask = self.batch(i // self.rows).columns
+        row = i % self.rows
+        return tokens.flatten().to_numpy(zero_copy_only=True)[row * self.length : (row + 1) * self.length], mask[row].values.to_numpy(zero_copy_only=False)
 
 
 def write_token_files(docs: DataFrame, vocabulary: str, folder: str | None = None, doc_id: str = "doc_id", text: str = "text", end_id: int = 2, length: int = 2048, rows: int = 256) -> DataFrame:
@@ -99,7 +117,7 @@ def write_token_files(docs: DataFrame, vocabulary: str, folder: str | None = Non
 
     start counts the ids of all shards before it. Null or empty text gives the end id alone; null doc_ids come first;
     rows with equal ids follow each other, in the order of their texts; other columns are ignored; an empty table gives
-    an empty manifest. A shard that is written again, after an executor was lost, replaces itself.
+    an empty manifest. A shard that is written again, after an executor was lost, is another file.
     """
     spark = docs.sparkSession
     folder = folder or fresh_folder(spark, "tokens")
@@ -107,14 +125,14 @@ def write_token_files(docs: DataFrame, vocabulary: str, folder: str | None = Non
 
     def write(batches):
         task = TaskContext.get()
-        shard, path = task.partitionId(), f"{folder}/shard-{task.partitionId():06d}.arrows"
+        shard, path = task.partitionId(), f"{folder}/shard-{task.partitionId():06d}-{task.taskAttemptId()}.arrows"
         out, enc = None, None
         for batch in batches:
             if not batch.num_rows:
                 continue
             enc = enc or encoder(vocabulary)
             kind = np.uint16 if max(enc.whole.get_vocab_size(), end_id + 1) <= 1 << 16 else np.uint32
-            out = out or _Writer(path, length, rows, np.dtype(kind), task.taskAttemptId())
+            out = out or _Writer(path, length, rows, np.dtype(kind))
             doc_ids, at = batch.column(0).cast(pa.int64()), 0
             for ids, offsets in enc.rows(batch.column(1)):
                 n = len(offsets) - 1
@@ -130,21 +148,26 @@ def write_token_files(docs: DataFrame, vocabulary: str, folder: str | None = Non
 
 
 def _documents_in(path: str) -> Iterator[tuple[list, list, list]]:
-    """(doc_ids, starts in the shard, arrays of ids) of a shard's documents, by index batch, with one token batch in memory at a time."""
+    """(doc_ids, starts in the shard, arrays of ids) of a shard's documents, by index batch.
+
+    A document's rows are looked up by their offsets; the mask has to be set for all of its tokens.
+    """
     system, own = _place(path)
-    with system.open_input_stream(own) as source, system.open_input_stream(own + ".index") as index:
-        tokens = (b.column(0).flatten().to_numpy() for b in ipc.open_stream(source))
-        flat, base = np.zeros(0, np.uint32), 0
+    file = SequenceFile(path)
+    each, held = file.rows * file.length, (-1, None, None)
+    with system.open_input_stream(own + ".index") as index:
         for part in ipc.open_stream(index):
-            starts, counts = part.column(1).to_pylist(), part.column(2).to_pylist()
-            arrays = []
+            starts, counts, arrays = part.column(1).to_pylist(), part.column(2).to_pylist(), []
             for start, n in zip(starts, counts):
-                while base + len(flat) < start + n:
-                    passed = min(start - base, len(flat))
-                    flat, base = flat[passed:], base + passed
-                    more = next(tokens)
-                    flat = np.concatenate([flat, more]) if len(flat) else more
-                arrays.append(flat[start - base : start - base + n])
+                pieces = []
+                for i in range(start // each, (start + n - 1) // each + 1):
+                    if held[0] != i:
+                        held = (i, *file.flat(i))
+                    s = slice(max(start - i * each, 0), start + n - i * each)
+                    pieces.append(held[1][s][held[2][s]])
+                arrays.append(pieces[0] if len(pieces) == 1 else np.concatenate(pieces))
+                if len(arrays[-1]) != n:
+                    raise ValueError(f"{path}: {len(arrays[-1])} of {n} tokens of a document are marked as real")
             yield part.column(0).to_pylist(), starts, arrays
 
 
