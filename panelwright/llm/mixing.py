@@ -1,26 +1,30 @@
 """Mixing sources to target weights: token weights raked to source, language and topic marginals, then sampling.
 
 The corpus is summed into cells of source, language and topic. Iterative proportional fitting scales the cells'
-weights to one target marginal after the other until all hold. Each document of a cell is then kept with the
-probability min(1, scale * weight), where the scale makes the expected tokens meet the budget; a hash of the
-document's id decides, so that every run and every executor decides alike.
+weights to one target marginal after the other until all hold, where a document is kept with the probability
+min(1, weight): the fitting counts cells at probability 1 as they are, so that the targets hold under that cap too.
+A hash of the document's id decides, so that every run and every executor decides alike. Many cells are raked as a
+table instead of an array, by the same steps, in the same order, to the same tolerance.
 """
 
 from __future__ import annotations
 
+import warnings
 from collections.abc import Mapping
 
 import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from panelwright.llm.common import cut, fresh_folder
+from panelwright.llm.common import cut, fresh_folder, only
 from panelwright.llm.quality_mcd import WORD
 
 #: Cells that are raked on the driver and broadcast; more are raked as a table and joined.
 DRIVER_CELLS = 50_000
 DIMENSIONS = ("source", "lang", "topic")
 NOTHING = "(null)"
+#: Of what a value has, the most that a target made by tempering asks for; and the factor of the budget where targets can't be met.
+REACHED, LOWERED = 0.98, 0.95
 
 
 def form_topic(text: Column) -> Column:
@@ -35,129 +39,171 @@ def form_topic(text: Column) -> Column:
     )
 
 
-def tempered(totals: Mapping[str, float], power: float) -> dict[str, float]:
-    """Shares in proportion to the totals' powers: below 1, small values gain."""
-    raised = {k: v**power for k, v in totals.items() if v > 0}
-    whole = sum(raised.values())
-    return {k: v / whole for k, v in raised.items()}
+def rake(tokens: np.ndarray, places: list[np.ndarray], wanted: list[np.ndarray], weights: np.ndarray, rounds: int, tolerance: float) -> tuple[np.ndarray, float]:
+    """(weights by which the sums of tokens * min(1, weight) by value are as wanted, the greatest gap left, as a share of all).
 
-
-def rake(tokens: np.ndarray, places: list[np.ndarray], targets: list[np.ndarray], rounds: int = 200, tolerance: float = 1e-10) -> np.ndarray:
-    """Weights of the cells, so that the weighted tokens' shares meet each dimension's targets; places: a cell's value in each."""
-    share = tokens / max(tokens.sum(), 1e-300)
-    own = share.copy()
+    places: for each dimension the number of each cell's value; wanted: a sum for each value. A step scales the weights
+    of one dimension's values by Newton's rule, which is plain proportional fitting where no weight is over 1.
+    """
+    whole = max((w.sum() for w in wanted), default=0.0) or 1.0
+    gap = 0.0
     for _ in range(rounds):
         gap = 0.0
-        for place, target in zip(places, targets):
-            now = np.bincount(place, own, len(target))
-            scale = np.divide(target, now, out=np.zeros(len(target)), where=now > 0)
-            gap = max(gap, float(np.abs(now - target)[now > 0].max(initial=0.0)))
-            own = own * scale[place]
+        for place, want in zip(places, wanted):
+            capped = weights >= 1
+            sure = np.bincount(place, tokens * capped, len(want))
+            rest = np.bincount(place, tokens * weights * ~capped, len(want))
+            now = sure + rest
+            gap = max(gap, float((np.abs(now - want) * (now > 0)).max(initial=0.0)) / whole)
+            newton = np.divide(want - sure, rest, out=np.zeros(len(want)), where=rest > 0)
+            plain = np.divide(want, now, out=np.zeros(len(want)), where=now > 0)
+            scale = np.where(newton > 0, newton, np.where((rest <= 0) & (want >= now), 1.0, plain))
+            weights = weights * scale[place]
         if gap < tolerance:
             break
-    return np.divide(own, share, out=np.zeros(len(own)), where=share > 0)
+    return weights, gap
 
 
-def rake_table(cells: DataFrame, targets: Mapping[str, DataFrame], rounds: int = 200, tolerance: float = 1e-10) -> DataFrame:
-    """rake() for more cells than a driver should hold: cells (dimensions, tokens) with a column weight.
+def rake_table(cells: DataFrame, wanted: Mapping[str, DataFrame], rounds: int, tolerance: float) -> tuple[DataFrame, float]:
+    """rake() for more cells than a driver should hold: cells (dimensions, tokens, weight), wanted (value, want).
 
-    Each round scales to every dimension's targets (value, target) in turn; a sum by value combines before the shuffle.
-    Rounds are written and read again, as a checkpoint would hand on estimates of sizes that each join multiplies.
-    It ends as rake() does: once no value's sum, where it isn't zero, was further than tolerance from its target.
+    A sum by value combines before the shuffle. Rounds are written and read again, as a checkpoint would hand on
+    estimates of sizes that each join multiplies.
     """
-    whole = cells.agg(F.sum("tokens").alias("t")).first()["t"] or 1
-    out = cells.withColumns({"own": F.col("tokens") / F.lit(float(whole)), "gap": F.lit(0.0)})
+    whole = max((t.agg(F.sum("want").alias("s")).first()["s"] or 0.0 for t in wanted.values()), default=0.0) or 1.0
+    gap = 0.0
     for _ in range(rounds):
-        out = out.withColumn("gap", F.lit(0.0))
-        for name, target in targets.items():
-            now = out.groupBy(name).agg(F.sum("own").alias("now"))
-            far = F.when(F.col("now") > 0, F.abs(F.col("now") - F.coalesce("target", F.lit(0.0)))).otherwise(0.0)
-            scale = now.join(target.withColumnRenamed("value", name), name, "left").select(name, F.coalesce(F.try_divide("target", "now"), F.lit(0.0)).alias("scale"), far.alias("far"))
-            out = out.join(scale, name).withColumns({"own": F.col("own") * F.col("scale"), "gap": F.greatest("gap", "far")}).drop("scale", "far")
-        place = fresh_folder(out.sparkSession, "raking")
-        out.write.parquet(place)
-        out = out.sparkSession.read.parquet(place)
-        if (out.agg(F.max("gap").alias("gap")).first()["gap"] or 0.0) < tolerance:
+        cells = cells.withColumn("gap", F.lit(0.0))
+        for name, want in wanted.items():
+            capped = F.col("weight") >= 1
+            sums = cells.groupBy(name).agg(F.sum(F.when(capped, F.col("tokens")).otherwise(0)).cast("double").alias("sure"), F.sum(F.when(capped, 0.0).otherwise(F.col("tokens") * F.col("weight"))).alias("rest"))
+            sums = sums.join(want.withColumnRenamed("value", name), name, "left").withColumns({"want": F.coalesce("want", F.lit(0.0)), "now": F.col("sure") + F.col("rest")})
+            newton, plain = F.try_divide(F.col("want") - F.col("sure"), "rest"), F.coalesce(F.try_divide("want", "now"), F.lit(0.0))
+            scale = F.when((F.col("rest") > 0) & (newton > 0), newton).when((F.col("rest") <= 0) & (F.col("want") >= F.col("now")), 1.0).otherwise(plain)
+            far = F.when(F.col("now") > 0, F.abs(F.col("now") - F.col("want")) / whole).otherwise(0.0)
+            cells = cells.join(sums.select(name, scale.alias("scale"), far.alias("far")), name).withColumns({"weight": F.col("weight") * F.col("scale"), "gap": F.greatest("gap", "far")}).drop("scale", "far")
+        place = fresh_folder(cells.sparkSession, "raking")
+        cells.write.parquet(place)
+        cells = cells.sparkSession.read.parquet(place)
+        gap = cells.agg(F.max("gap").alias("gap")).first()["gap"] or 0.0
+        if gap < tolerance:
             break
-    return out.withColumn("weight", F.coalesce(F.try_divide(F.col("own") * float(whole), F.col("tokens")), F.lit(0.0))).drop("own", "gap")
+    return cells.drop("gap"), gap
 
 
-def calibrate(tokens: np.ndarray, weights: np.ndarray, budget: float) -> float:
-    """The scale s for which the sum of tokens * min(1, s * weight) is the budget, or all that can be had."""
-    order = np.argsort(-weights)
-    t, w = tokens[order].astype(float), weights[order]
-    sure = np.concatenate([[0.0], np.cumsum(t)])
-    rest = np.concatenate([np.cumsum((t * w)[::-1])[::-1], [0.0]])
-    for k in range(len(t) + 1):  # the k heaviest cells are kept whole
-        if rest[k] <= 0:
-            return 1 / max(w[w > 0].min(initial=1.0), 1e-300)
-        s = (budget - sure[k]) / rest[k]
-        if k == len(t) or s * w[k] <= 1:
-            return max(s, 0.0)
-    return 0.0
-
+def reachable(totals: np.ndarray, power: float, budget: float) -> np.ndarray:
+    """Shares in proportion to the totals' powers, none above what the value has of so many tokens in all; the others take up the rest."""
+    own = np.where(totals > 0, totals, 1.0) ** power * (totals > 0)
+    share, most = own / (own.sum() or 1.0), REACHED * totals / max(budget, 1e-300)
+    full = np.zeros(len(totals), bool)
+    while True:
+        left = max(1 - most[full].sum(), 0.0)
+        out = np.where(full, most, share * (left / (share[~full].sum() or 1.0)))
+        new = full | (out > most)
+        if (new == full).all():
+            return out
+        full = new
 
-def calibrate_table(cells: DataFrame, budget: float) -> float:
-    """calibrate() for a table of tokens and weight.
 
-    The kept tokens are concave in the scale and linear between the cells' 1 / weight, so that Newton's steps from 0
-    rise to the solution and end there; each is one sum over the table.
-    """
-    s, some = 0.0, cells.where("weight > 0 AND tokens > 0")
+def reachable_table(totals: DataFrame, power: float, budget: float) -> DataFrame:
+    """reachable() for a table of value and tokens: value and target."""
+    out = cut(totals.where("tokens > 0").select("value", F.pow(F.col("tokens").cast("double"), F.lit(power)).alias("own"), (F.lit(REACHED) * F.col("tokens") / max(budget, 1e-300)).alias("most"), F.lit(False).alias("full")))
     while True:
-        sure = F.col("weight") * F.lit(s) >= 1
-        found = some.agg(F.sum(F.when(sure, F.col("tokens"))).alias("sure"), F.sum(F.when(~sure, F.col("tokens") * F.col("weight"))).alias("rest"), F.min("weight").alias("least")).first()
-        if not found["rest"]:
-            return 1 / found["least"] if found["least"] else 1.0
-        new = max((budget - (found["sure"] or 0)) / found["rest"], 0.0)
-        if new <= s * (1 + 1e-12):
-            return max(new, s)
-        s = new
-
-
-def mix_sources(docs: DataFrame, topic: Column, doc_id: str = "doc_id", text: str = "text", source: str = "source", lang: str = "lang", targets: Mapping[str, Mapping[str, float]] | None = None, power: float = 0.7, budget: float = 0.5, seed: int = 17, rounds: int = 200) -> DataFrame:
-    """docs with the columns mix_source, mix_lang, mix_topic, mix_tokens, mix_weight, mix_probability, mix_kept.
-
-    Tokens are counted as words. targets: for "source", "lang" and "topic", a share for each value; values without one
-    get none, and a dimension without targets gets its own shares, tempered by power. budget: the share of all tokens
-    to keep in expectation. Null sources, languages and topics are a value of their own, "(null)"; null text has no
-    tokens and its cell's probability. A null doc_id is hashed as such, repeated rows are decided alike. An empty table
-    gives an empty table.
-    """
-    spark = docs.sparkSession
-    named = {"source": F.col(source), "lang": F.col(lang), "topic": topic}
-    counted = docs.withColumns({f"mix_{d}": F.coalesce(c.cast("string"), F.lit(NOTHING)) for d, c in named.items()})
-    counted = counted.withColumn("mix_tokens", F.regexp_count(F.coalesce(F.col(text), F.lit("")), F.lit(WORD)).cast("long"))
-    keys = [f"mix_{d}" for d in DIMENSIONS]
-    cells = cut(counted.groupBy(*keys).agg(F.sum("mix_tokens").alias("tokens"), F.count("*").alias("documents")))
-    plain = cells.select(*[F.col(k).alias(d) for k, d in zip(keys, DIMENSIONS)], "tokens")
-    n = cells.count()
-    if n <= DRIVER_CELLS:
-        rows = plain.collect()  # at most DRIVER_CELLS rows
+        sums = out.agg(F.sum(F.when(~F.col("full"), F.col("own"))).alias("own"), F.sum(F.when(F.col("full"), F.col("most"))).alias("most")).first()
+        target = F.when(F.col("full"), F.col("most")).otherwise(F.col("own") * (max(1 - (sums["most"] or 0.0), 0.0) / (sums["own"] or 1.0)))
+        new = out.withColumn("target", target)
+        over = new.where("NOT full AND target > most")
+        if over.isEmpty():
+            return new.select("value", "target")
+        out = cut(new.withColumn("full", F.col("full") | (F.col("target") > F.col("most"))).drop("target"))
+
+
+def raked_cells(cells: DataFrame, targets: Mapping[str, Mapping[str, float]] | None, power: float, budget: float, rounds: int, tolerance: float, driver_cells: int = DRIVER_CELLS) -> DataFrame:
+    """cells (dimensions, tokens) with a column weight; see mix_sources()."""
+    spark, given = cells.sparkSession, {d: t for d, t in (targets or {}).items() if t}
+    sizes = cells.agg(F.count("*").alias("n"), F.sum("tokens").alias("t")).first()
+    n, total = sizes["n"], float(sizes["t"] or 0)
+    if not total:
+        return cells.withColumn("weight", F.lit(float(budget)))
+    schema = ", ".join(f"{d} string" for d in DIMENSIONS) + ", tokens long, weight double"
+    wish = budget * total
+    if n <= driver_cells:
+        rows = cells.select(*DIMENSIONS, "tokens").collect()  # at most driver_cells rows
         tokens = np.array([r["tokens"] for r in rows], float)
-        places, wanted = [], []
+        places, names, sums = [], [], []
         for d in DIMENSIONS:
-            values = sorted({r[d] for r in rows})
-            at = {v: i for i, v in enumerate(values)}
+            names.append(sorted({r[d] for r in rows}))
+            at = {v: i for i, v in enumerate(names[-1])}
             places.append(np.array([at[r[d]] for r in rows], np.int64))
-            own = (targets or {}).get(d) or tempered({v: float(tokens[places[-1] == i].sum()) for v, i in at.items()}, power)
-            wanted.append(np.array([own.get(v, 0.0) for v in values]))
-        weights = rake(tokens, places, wanted, rounds) if n else np.zeros(0)
-        scale = calibrate(tokens, weights, budget * tokens.sum()) if n else 0.0
-        made = [(*[r[d] for d in DIMENSIONS], float(w)) for r, w in zip(rows, weights)]
-        weighted = F.broadcast(spark.createDataFrame(made, ", ".join(f"{k} string" for k in keys) + ", mix_weight double"))
-    else:
-        tables = {}
-        for d in DIMENSIONS:
-            sums = plain.groupBy(d).agg(F.sum("tokens").cast("double").alias("t")).where("t > 0")
-            if (targets or {}).get(d):
-                tables[d] = spark.createDataFrame([(v, float(s)) for v, s in targets[d].items()], "value string, target double")
-            else:
-                whole = sums.agg(F.sum(F.pow("t", F.lit(power))).alias("s")).first()["s"] or 1.0
-                tables[d] = sums.select(F.col(d).alias("value"), (F.pow("t", F.lit(power)) / whole).alias("target"))
-        raked = rake_table(plain, tables, rounds)
-        scale = calibrate_table(raked, budget * float(plain.agg(F.sum("tokens").alias("t")).first()["t"] or 0))
-        weighted = raked.select(*[F.col(d).alias(k) for k, d in zip(keys, DIMENSIONS)], F.col("weight").alias("mix_weight"))
-    place = F.pmod(F.xxhash64(F.col(doc_id), F.lit(seed)), F.lit(1 << 52)) / (1 << 52)
-    out = counted.join(weighted, keys).withColumn("mix_probability", F.least(F.lit(1.0), F.col("mix_weight") * F.lit(scale)))
+            sums.append(np.bincount(places[-1], tokens, len(names[-1])))
+        shares = {d: np.array([given[d].get(v, 0.0) for v in values]) for d, values in zip(DIMENSIONS, names) if d in given}
+        for d, s in zip(DIMENSIONS, sums):
+            if d in shares and (shares[d] > 0).any():
+                wish = min(wish, float(np.min(s[shares[d] > 0] / shares[d][shares[d] > 0])))
+        weights = np.full(n, wish / total)
+        while True:
+            wanted = [shares[d] * wish if d in shares else reachable(s, power, wish) * wish for d, s in zip(DIMENSIONS, sums)]
+            weights, gap = rake(tokens, places, wanted, weights, rounds, tolerance)
+            if gap < tolerance or wish < 1e-3 * budget * total:
+                break
+            wish, weights = wish * LOWERED, np.full(n, wish * LOWERED / total)
+        _report(gap, tolerance)
+        return spark.createDataFrame([(*[r[d] for d in DIMENSIONS], r["tokens"], float(w)) for r, w in zip(rows, weights)], schema)
+    sums = {d: cut(cells.groupBy(F.col(d).alias("value")).agg(F.sum("tokens").alias("tokens"))) for d in DIMENSIONS}
+    shares = {d: spark.createDataFrame([(v, float(x)) for v, x in given[d].items()], "value string, target double") for d in given}
+    for d in shares:
+        least = sums[d].join(shares[d].where("target > 0"), "value").agg(F.min(F.col("tokens") / F.col("target")).alias("m")).first()["m"]
+        wish = min(wish, wish if least is None else least)
+    while True:
+        wanted = {d: (shares[d] if d in shares else reachable_table(sums[d], power, wish)).select("value", (F.col("target") * wish).alias("want")) for d in DIMENSIONS}
+        raked, gap = rake_table(cells.select(*DIMENSIONS, "tokens").withColumn("weight", F.lit(wish / total)), wanted, rounds, tolerance)
+        if gap < tolerance or wish < 1e-3 * budget * total:
+            break
+        wish *= LOWERED
+    _report(gap, tolerance)
+    return raked
+
+
+def _report(gap: float, tolerance: float) -> None:
+    if gap >= tolerance:
+        warnings.warn(f"no weights meet the targets: a marginal is off by {gap:.3g} of the tokens", stacklevel=3)
+
+
+def _keyed(docs: DataFrame, topic: Column, source: str, lang: str) -> list[Column]:
+    named = {"source": docs[source], "lang": docs[lang], "topic": topic}
+    return [F.coalesce(c.cast("string"), F.lit(NOTHING)).alias(f"mix_{d}") for d, c in named.items()]
+
+
+def _decided(counted: DataFrame, doc_id: Column, targets, power: float, budget: float, seed: int, rounds: int, tolerance: float, driver_cells: int) -> DataFrame:
+    """counted (with mix_source, mix_lang, mix_topic, mix_tokens) and its weight, probability and decision."""
+    keys = [f"mix_{d}" for d in DIMENSIONS]
+    cells = cut(counted.groupBy(*[F.col(k).alias(d) for k, d in zip(keys, DIMENSIONS)]).agg(F.sum("mix_tokens").alias("tokens")))
+    raked = raked_cells(cells, targets, power, budget, rounds, tolerance, driver_cells).select(*[F.col(d).alias(k) for k, d in zip(keys, DIMENSIONS)], F.col("weight").alias("mix_weight"))
+    few = raked.limit(driver_cells + 1).count() <= driver_cells
+    place = F.pmod(F.xxhash64(doc_id, F.lit(seed)), F.lit(1 << 52)) / (1 << 52)
+    out = counted.join(F.broadcast(raked) if few else raked, keys).withColumn("mix_probability", F.least(F.lit(1.0), "mix_weight"))
     return out.withColumn("mix_kept", place < F.col("mix_probability"))
+
+
+def mix_sources(docs: DataFrame, topic: Column, doc_id: str = "doc_id", text: str = "text", source: str = "source", lang: str = "lang", targets: Mapping[str, Mapping[str, float]] | None = None, power: float = 0.7, budget: float = 0.5, seed: int = 17, rounds: int = 400, tolerance: float = 1e-9, driver_cells: int = DRIVER_CELLS) -> DataFrame:
+    """doc_id, mix_source, mix_lang, mix_topic, mix_tokens, mix_weight, mix_probability, mix_kept, for each row of docs.
+
+    Tokens are counted as words. budget: the share of all tokens to keep in expectation. targets: for "source", "lang"
+    and "topic", a share for each value; values without one get none, and the budget is lowered until the shares can
+    be met without a document kept twice. A dimension without targets gets its own shares, tempered by power, none of
+    them above 0.98 of what its value has. If no weights meet all, the budget is lowered by twentieths, and a
+    warning tells what gap is left if that doesn't help. Null sources, languages and topics are a value of their own, "(null)";
+    null text has no tokens and its cell's probability. A null doc_id is hashed as such, repeated rows are decided
+    alike, ties can't arise, other columns are ignored. An empty table gives an empty table. The words are counted once.
+    """
+    docs = only(docs, *dict.fromkeys([doc_id, text, source, lang]))
+    words = F.regexp_count(F.coalesce(docs[text], F.lit("")), F.lit(WORD)).cast("long")
+    counted = cut(docs.select(docs[doc_id].alias("doc_id"), *_keyed(docs, topic, source, lang), words.alias("mix_tokens")))
+    return _decided(counted, F.col("doc_id"), targets, power, budget, seed, rounds, tolerance, driver_cells)
+
+
+def keep_mixed(docs: DataFrame, topic: Column, doc_id: str = "doc_id", text: str = "text", source: str = "source", lang: str = "lang", targets: Mapping[str, Mapping[str, float]] | None = None, power: float = 0.7, budget: float = 0.5, seed: int = 17, rounds: int = 400, tolerance: float = 1e-9, driver_cells: int = DRIVER_CELLS) -> DataFrame:
+    """The rows of docs that mix_sources() keeps, with all their columns as they are, whatever their names."""
+    words = F.regexp_count(F.coalesce(docs[text], F.lit("")), F.lit(WORD)).cast("long")
+    rows = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("mix_row"), *_keyed(docs, topic, source, lang), words.alias("mix_tokens"))
+    return _decided(rows, F.col("mix_row")[doc_id], targets, power, budget, seed, rounds, tolerance, driver_cells).where("mix_kept").select("mix_row.*")

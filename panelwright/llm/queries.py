@@ -64,7 +64,7 @@ def op5_url_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op6_raking(spark: SparkSession, sf_dir: str) -> DataFrame:
     """doc_id, source, lang, topic, n_tokens, the cell's weight, the document's probability, and whether it is kept."""
-    found = mix_sources(table(spark, sf_dir, "documents").select("doc_id", "text", "source", "lang"), form_topic(F.col("text")))
+    found = mix_sources(table(spark, sf_dir, "documents"), form_topic(F.col("text")))
     names = {"mix_source": "source", "mix_lang": "lang", "mix_topic": "topic", "mix_tokens": "n_tokens", "mix_weight": "weight", "mix_probability": "probability", "mix_kept": "kept"}
     return found.select("doc_id", *[F.col(k).alias(v) for k, v in names.items()])
 
