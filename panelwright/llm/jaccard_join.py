@@ -5,8 +5,10 @@
    token of their prefixes. Equal sets collapse into a class, classes with equal prefix and size into a group.
 3. Groups meet on prefix tokens. A token of few groups gives pairs, which the sizes and the number of shared
    prefix tokens filter; a token of many groups gives one star, which drops no pair, only filters none.
-4. Candidate clusters are cut into blocks of bounded size; every pair of classes in every pair of blocks is
-   verified exactly by a product of incidence matrices, and a spanning forest of the verified links goes on.
+   Sets too small to link with any set but an equal one take no part.
+4. Candidate clusters are cut into steps of size and these into blocks bounded in shingles and in sets. A block meets
+   the blocks of its own and the next step only, as sets further apart in size can't link; every pair of classes that
+   meets is verified exactly by a product of incidence matrices, and a spanning forest of the links goes on.
 """
 
 from __future__ import annotations
@@ -19,7 +21,7 @@ from fractions import Fraction
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from panelwright.llm.common import cut, only, text_bytes
@@ -31,8 +33,8 @@ SKETCH_BITS = 20
 SLICE_BITS = 14
 #: Groups on a token up to which pairs are listed; beyond, the token's groups form a star.
 PAIRS_UP_TO = 48
-#: Shingles in a block; two blocks meet in one task.
-BLOCK_SHINGLES = 1_000_000
+#: Shingles and sets in a block, in expectation; two blocks meet in one task.
+BLOCK_SHINGLES, BLOCK_SETS = 1_000_000, 1_500
 #: Columns of a dense incidence matrix at a time.
 COLUMNS = 8192
 #: Bits of the filter of candidate ids per candidate, and its largest size.
@@ -154,33 +156,47 @@ def _sets_of(docs: DataFrame, doc_id: str, text: str, width: int, marked: np.nda
     return docs.select(doc_id, text).mapInArrow(encode, "rep long, cells binary")
 
 
-def _forest(reps: np.ndarray, sets: list[np.ndarray], threshold: Fraction) -> tuple[np.ndarray, np.ndarray]:
-    """Spanning forest (a, b) of the exact links among the sets."""
+def size_step(n: Column, threshold: Fraction) -> Column:
+    """Sets that link are in the same step of sizes or in neighbouring ones: a step is a little wider than the threshold's ratio."""
+    width = -math.log(threshold) * (1 + 1e-9) if threshold < 1 else 1e-9
+    return F.floor(F.log(n.cast("double")) / F.lit(width)).cast("int")
+
+
+def _forest(reps: np.ndarray, sets: list[np.ndarray], first: np.ndarray | None, threshold: Fraction) -> tuple[np.ndarray, np.ndarray]:
+    """Spanning forest (a, b) of the exact links among the sets; first: only links between its sets and the others count."""
     m = len(sets)
     sizes = np.array([len(x) for x in sets], np.int64)
+    rows, columns = (np.arange(m), np.arange(m)) if first is None else (np.flatnonzero(first), np.flatnonzero(~first))
+    place = np.empty(m, np.int64)
     ids, cells = np.repeat(np.arange(m), sizes), np.concatenate(sets)
     order = np.argsort(cells, kind="stable")
     cells, ids = cells[order], ids[order]
-    first = np.flatnonzero(np.append(True, cells[1:] != cells[:-1])) if len(cells) else np.zeros(0, np.int64)
-    runs = np.diff(np.append(first, len(cells)))
+    begins = np.flatnonzero(np.append(True, cells[1:] != cells[:-1])) if len(cells) else np.zeros(0, np.int64)
+    runs = np.diff(np.append(begins, len(cells)))
     keep = runs > 1
     column = np.repeat(np.where(keep, np.cumsum(keep) - 1, -1), runs)
     ids, column = ids[column >= 0], column[column >= 0]
-    both = np.zeros((m, m), np.float64)
-    for lo in range(0, int(keep.sum()), COLUMNS):
+    both, total = np.zeros((len(rows), len(columns)), np.float64 if sizes.max(initial=0) >> 24 else np.float32), int(keep.sum())
+    for lo in range(0, total, COLUMNS):
         a, b = np.searchsorted(column, [lo, lo + COLUMNS])
-        part = np.zeros((m, min(COLUMNS, int(keep.sum()) - lo)), np.float32)
+        part = np.zeros((m, min(COLUMNS, total - lo)), np.float32)
         part[ids[a:b], column[a:b] - lo] = 1
-        both += part @ part.T
-    shared = np.rint(both).astype(np.int64)
-    linked = shared * threshold.denominator >= threshold.numerator * (sizes[:, None] + sizes[None, :] - shared)
+        both += part @ part.T if first is None else part[rows] @ part[columns].T
+    place[rows], place[columns] = np.arange(len(rows)), np.arange(len(columns))
+    num, den = threshold.numerator, threshold.denominator
+    linked = np.empty(both.shape, bool)
+    for r, i in enumerate(rows.tolist()):
+        shared = np.rint(both[r]).astype(np.int64)
+        linked[r] = shared * den >= num * (sizes[i] + sizes[columns] - shared)
     left, right, seen = [], [], np.zeros(m, bool)
     for root in range(m):
         if seen[root]:
             continue
         seen[root], stack = True, [root]
         while stack:
-            new = np.flatnonzero(linked[(x := stack.pop())] & ~seen)
+            x = stack.pop()
+            near = columns[linked[place[x]]] if first is None or first[x] else rows[linked[:, place[x]]]
+            new = near[~seen[near]]
             seen[new] = True
             left += [reps[x]] * len(new)
             right += reps[new].tolist()
@@ -194,27 +210,39 @@ def jaccard_classes(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     Documents link when the Jaccard similarity of their sets of word shingles is at least threshold. class_id is the
     smallest doc_id with an equal set, component_id the smallest reachable by links. Null or wordless text: an empty
     set, linked with nothing, both ids its own. A null doc_id: ids null, linked with nothing. Repeated rows stay
-    repeated; other columns are ignored; an empty table gives an empty table.
+    repeated; rows with one doc_id and different texts count as one document with the links of all of them; other
+    columns are ignored; an empty table gives an empty table.
     """
     docs = only(docs, doc_id, text)
     signed = cut(signatures(docs, doc_id, text, width, threshold))
     real = signed.where("n > 0 AND doc_id IS NOT NULL")
     classes = real.groupBy("n", "fp1", "fp2").agg(F.min("doc_id").alias("rep"), F.first("prefix").alias("prefix"), F.first("prefix_hash").alias("prefix_hash"))
     classes = cut(classes)
-    groups = classes.groupBy("n", "prefix_hash").agg(F.min("rep").alias("gid"), F.first("prefix").alias("prefix"), F.count("*").alias("members"))
+    least = math.ceil(threshold / (1 - threshold)) if threshold < 1 else 1 << 62  # smaller sets link with equal ones only
+    groups = classes.where(F.col("n") >= least).groupBy("n", "prefix_hash").agg(F.min("rep").alias("gid"), F.first("prefix").alias("prefix"), F.count("*").alias("members"))
     groups = cut(groups)
     found = connected_components(candidate_links(groups, threshold), "a", "b")
     clustered = groups.select("n", "prefix_hash", "gid", "members").join(found.withColumnRenamed("id", "gid"), "gid", "left").where("component IS NOT NULL OR members > 1")
-    candidates = classes.join(clustered.select("n", "prefix_hash", F.coalesce("component", "gid").alias("cluster")), ["n", "prefix_hash"]).select("rep", "n", "cluster")
-    weights = candidates.groupBy("cluster").agg(F.ceil(F.sum("n") / BLOCK_SHINGLES).cast("int").alias("blocks"), F.count("*").alias("reps")).where("reps > 1")
-    candidates = cut(candidates.join(weights, "cluster").select("rep", "cluster", "blocks", F.pmod(F.xxhash64("rep"), "blocks").cast("int").alias("block")))
+    candidates = cut(classes.join(clustered.select("n", "prefix_hash", F.coalesce("component", "gid").alias("cluster")), ["n", "prefix_hash"]).select("rep", "n", "cluster", size_step(F.col("n"), threshold).alias("step")))
+    blocks = F.greatest(F.ceil(F.sum("n") / BLOCK_SHINGLES), F.ceil(F.count("*") / BLOCK_SETS)).cast("int")
+    steps = cut(candidates.groupBy("cluster", "step").agg(blocks.alias("blocks"), F.count("*").alias("reps")))
+    # what each step meets: its own blocks, if it has two sets at least, and those of the steps beside it
+    beside = steps.select("cluster", F.explode(F.array(F.col("step") - 1, F.col("step"), F.col("step") + 1)).alias("step"), F.col("step").alias("other_step"), F.col("blocks").alias("other_blocks"))
+    meets = steps.join(beside, ["cluster", "step"]).where("step <> other_step OR reps > 1")
+    meets = cut(meets.select("cluster", "step", "blocks", "other_step", F.explode(F.sequence(F.lit(0), F.col("other_blocks") - 1)).alias("other_block")))
+    partners = meets.groupBy("cluster", "step", "blocks").agg(F.collect_list(F.struct("other_step", "other_block")).alias("others"))
+    candidates = cut(candidates.join(partners, ["cluster", "step"]).select("rep", "cluster", "step", F.pmod(F.xxhash64("rep"), "blocks").cast("int").alias("block"), "others"))
     marked = _id_filter(candidates.select("rep"), candidates.count())
-    placed = _sets_of(docs, doc_id, text, width, marked).join(candidates, "rep").select("rep", "cells", "cluster", "block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
-    placed = placed.select("rep", "cells", "cluster", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"))
+    placed = _sets_of(docs, doc_id, text, width, marked).join(candidates, "rep").select("rep", "cells", "cluster", F.struct("step", "block").alias("own"), F.explode("others").alias("o"))
+    placed = placed.withColumn("other", F.struct(F.col("o.other_step").alias("step"), F.col("o.other_block").alias("block")))
+    placed = placed.select("rep", "cells", "cluster", F.least("own", "other").alias("low"), F.greatest("own", "other").alias("high"), (F.col("own") <= F.col("other")).alias("first"))
 
     def verify(key, group):
+        if group.num_rows < 2:
+            return pa.table({"a": pa.array([], pa.int64()), "b": pa.array([], pa.int64())})
         reps = group.column("rep").to_numpy()
-        a, b = _forest(reps, [np.frombuffer(x, np.uint64) for x in group.column("cells").to_pylist()], threshold)
+        first = None if key[1].as_py() == key[2].as_py() else group.column("first").to_numpy(zero_copy_only=False).astype(bool)
+        a, b = _forest(reps, [np.frombuffer(x, np.uint64) for x in group.column("cells").to_pylist()], first, threshold)
         return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
 
     links = placed.groupBy("cluster", "low", "high").applyInArrow(verify, "a long, b long")
