@@ -1,10 +1,11 @@
 """Exact cosine near-duplicates by dual traversal of cover trees.
 
-On unit vectors a cosine of at least t is a distance of at most sqrt(2 - 2 t). The top of the tree is distributed:
-vectors go to the cell of the nearest pivot of their label, and two cells meet only if their centres are no further
-apart than their covering radii and that distance together. In each meeting both cells get cover trees, of nested
-levels with halving radii, and the traversal prunes pairs of nodes by the same bound; a pair of nodes that lies wholly
-within the distance counts as linked without looking at its points.
+On the unit sphere a cosine of at least t is an angle of at most acos(t), and angles are a metric. The top of the tree
+is distributed: vectors go to the cell of the nearest pivot of their label, and a vector visits another cell only if
+its angle to that cell's pivot is no more than the cell's covering radius and acos(t) together; of two cells only the
+first's vectors visit the second. In each cell the own vectors and the visitors get cover trees, of nested levels with
+halving radii, and the traversal prunes pairs of nodes by the same bound; a pair of nodes that lies wholly within the
+angle counts as linked without looking at its points.
 """
 
 from __future__ import annotations
@@ -19,10 +20,12 @@ from pyspark.sql import functions as F
 from panelwright.llm.common import cut, only
 from panelwright.llm.components import connected_components
 
-#: Vectors of a cell, in expectation; more where else the pivots, which are broadcast, exceeded their bound.
+#: Vectors of a cell's part, in expectation, and pivots, which are broadcast; with more vectors cells have more parts.
 CELL, MOST_PIVOTS = 1500, 20_000
 LEAF = 24
 SLACK = 1e-7
+#: Pairs that are verified at a time.
+CHUNK = 1 << 17
 
 
 class Node:
@@ -33,7 +36,8 @@ class Node:
 
 
 def distances(x: np.ndarray, y: np.ndarray) -> np.ndarray:
-    return np.sqrt(np.maximum(0.0, 2 - 2 * (x @ y.T)))
+    """Angles between unit vectors."""
+    return np.arccos(np.clip(x @ y.T, -1.0, 1.0))
 
 
 def build(x: np.ndarray) -> Node:
@@ -58,12 +62,12 @@ def build(x: np.ndarray) -> Node:
 
     d = distances(x, x[:1])[:, 0]
     d[0] = 0.0
-    return grow(0, np.arange(len(x)), d, 2.0)
+    return grow(0, np.arange(len(x)), d, 4.0)
 
 
 def dual(x: np.ndarray, a: Node, y: np.ndarray, b: Node, most: float):
-    """(pairs to verify: two arrays, pairs of point arrays that are linked throughout)."""
-    left, right, whole = [], [], []
+    """Yields (points of x, points of y, whole): pairs to verify, or if whole two sets of points that are linked throughout."""
+    left, right, held = [], [], 0
     stack = [(a, b)]
     while stack:
         p, q = stack.pop()
@@ -73,7 +77,7 @@ def dual(x: np.ndarray, a: Node, y: np.ndarray, b: Node, most: float):
         reach = np.array([n.radius for n in ps])[:, None] + np.array([n.radius for n in qs])[None, :]
         inside = d + reach <= most - SLACK
         for i, j in np.argwhere(inside).tolist():
-            whole.append((ps[i].points, qs[j].points))
+            yield ps[i].points, qs[j].points, True
         for i, j in np.argwhere((d <= reach + most + SLACK) & ~inside).tolist():
             if ps[i].children or qs[j].children:
                 stack.append((ps[i], qs[j]))
@@ -81,8 +85,12 @@ def dual(x: np.ndarray, a: Node, y: np.ndarray, b: Node, most: float):
                 own, other = ps[i].points, qs[j].points
                 left.append(np.repeat(own, len(other)))
                 right.append(np.tile(other, len(own)))
-    none = np.zeros(0, np.int64)
-    return np.concatenate([none, *left]), np.concatenate([none, *right]), whole
+                held += len(left[-1])
+                if held >= CHUNK:
+                    yield np.concatenate(left), np.concatenate(right), False
+                    left, right, held = [], [], 0
+    if held:
+        yield np.concatenate(left), np.concatenate(right), False
 
 
 def _roots(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -100,33 +108,45 @@ def _roots(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
 
 
 def meet(x: np.ndarray, y: np.ndarray | None, threshold: float, weight_x: np.ndarray, weight_y: np.ndarray):
-    """(links of each x, links of each y, root of each of x then y) between two sets, or within one if y is None."""
+    """(links of each x, links of each y, root of each of x then y) between two sets, or within one if y is None.
+
+    Links are folded into counts and roots as they are found, so that memory follows the points, not the links.
+    """
     same = y is None
-    other = x if same else y
+    other, wx = (x, weight_x) if same else (y, weight_y)
+    shift = 0 if same else len(x)
     norm_x, norm_y = np.sqrt((x * x).sum(axis=1)), np.sqrt((other * other).sum(axis=1))
     ux, uy = x / norm_x[:, None], other / norm_y[:, None]
     tree = build(ux)
-    i, j, whole = dual(ux, tree, uy, tree if same else build(uy), math.sqrt(2 - 2 * threshold))
-    keep = np.zeros(len(i), bool)
-    for lo in range(0, len(i), 1 << 16):
-        s = slice(lo, lo + (1 << 16))
-        keep[s] = (x[i[s]] * other[j[s]]).sum(axis=1) / (norm_x[i[s]] * norm_y[j[s]]) >= threshold
-    i, j = i[keep], j[keep]
-    if same:
-        i, j = i[i != j], j[i != j]
-    wx = weight_x if same else weight_y
-    n_x = np.bincount(i, wx[j], len(x)) if len(i) else np.zeros(len(x))
-    n_y = np.bincount(j, weight_x[i], len(other)) if len(i) else np.zeros(len(other))
-    a, b = [i], [j + (0 if same else len(x))]
-    for p, q in whole:
-        n_x[p] += wx[q].sum()
-        n_y[q] += weight_x[p].sum()
-        if same:
-            both = np.intersect1d(p, q)
-            n_x[both] -= weight_x[both]
-        a += [p, np.full(len(q), p[0])]
-        b += [np.full(len(p), q[0] + (0 if same else len(x))), q + (0 if same else len(x))]
-    return n_x, n_y, _roots(len(x) + (0 if same else len(other)), np.concatenate(a), np.concatenate(b))
+    n_x, n_y, root = np.zeros(len(x)), np.zeros(len(other)), np.arange(shift + len(other))
+    a, b, waiting = [], [], 0
+    for i, j, whole in dual(ux, tree, uy, tree if same else build(uy), math.acos(threshold)):
+        if whole:
+            n_x[i] += wx[j].sum()
+            n_y[j] += weight_x[i].sum()
+            if same:
+                both = np.intersect1d(i, j)
+                n_x[both] -= weight_x[both]
+            a += [i, np.full(len(j), i[0])]
+            b += [np.full(len(i), j[0] + shift), j + shift]
+        else:
+            keep = np.empty(len(i), bool)
+            for lo in range(0, len(i), 1 << 14):
+                s = slice(lo, lo + (1 << 14))
+                keep[s] = (x[i[s]] * other[j[s]]).sum(axis=1) / (norm_x[i[s]] * norm_y[j[s]]) >= threshold
+            i, j = i[keep], j[keep]
+            if same:
+                i, j = i[i != j], j[i != j]
+            if not len(i):
+                continue
+            n_x += np.bincount(i, wx[j], len(x))
+            n_y += np.bincount(j, weight_x[i], len(other))
+            a.append(i)
+            b.append(j + shift)
+        waiting += len(a[-1]) + len(a[-2] if whole else [])
+        if waiting >= CHUNK:
+            root, a, b, waiting = _roots(len(root), np.concatenate([np.arange(len(root)), *a]), np.concatenate([root, *b])), [], [], 0
+    return n_x, n_y, _roots(len(root), np.concatenate([np.arange(len(root)), *a]), np.concatenate([root, *b]))
 
 
 def _matrix(column) -> np.ndarray:
@@ -150,69 +170,75 @@ def near_vectors(vectors: DataFrame, vec_id: str = "vec_id", vector: str = "embe
     rows = rows.withColumn("sound", F.coalesce(sound, F.lit(False)))
     points = cut(rows.where("sound").groupBy("label", "v").agg(F.min("vec_id").alias("rep"), F.count("*").alias("m")).withColumn("key", F.struct("label", F.size("v").alias("length"))))
     spark, total = vectors.sparkSession, points.count()
-    size = max(CELL, math.ceil(total / MOST_PIVOTS))
-    counts = points.groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") > size)
+    each = max(CELL, math.ceil(total / MOST_PIVOTS))  # vectors for a pivot; parts of cells stay at CELL
+    counts = points.groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") > CELL)
     place = F.pmod(F.xxhash64("rep", F.lit(11)), F.lit(1 << 40)) / (1 << 40)
-    chosen = points.join(counts, "key").where(place * F.col("n") < F.ceil(F.col("n") / size)).select(F.to_json("key").alias("k"), "rep", "v").orderBy("k", "rep").limit(4 * MOST_PIVOTS).collect()
-    by_key: dict[str, list] = {}
-    for r in chosen:
-        by_key.setdefault(r["k"], []).append(np.array(r["v"], np.float64))
-    pivots = spark.sparkContext.broadcast({k: np.array(v) / np.linalg.norm(v, axis=1)[:, None] for k, v in by_key.items()})
+    share = F.ceil(F.col("n") / each) / F.col("n")
+    chosen = points.join(counts, "key").where(place < share).select(F.to_json("key").alias("k"), "rep", "v").orderBy("k", "rep").toArrow()  # MOST_PIVOTS in expectation, and one for each label that is larger than a cell
+    by_key: dict[str, np.ndarray] = {}
+    names = chosen.column("k").to_pylist()
+    for k in dict.fromkeys(names):
+        x = _matrix(chosen.column("v").take(pa.array([i for i, n in enumerate(names) if n == k])))
+        by_key[k] = x / np.linalg.norm(x, axis=1)[:, None]
+    pivots = spark.sparkContext.broadcast(by_key)
+    kind = dict(points.dtypes)["v"]
+
+    def angles(batch, column: int):
+        """(key, places in the batch, angles to the key's pivots) for each key that has pivots, in steps of bounded size."""
+        own, keys = pivots.value, np.array(batch.column(0).to_pylist(), object)
+        for k in sorted(set(keys.tolist()) & set(own)):
+            at = np.flatnonzero(keys == k)
+            step = max(1, (1 << 22) // len(own[k]))
+            for lo in range(0, len(at), step):
+                x = _matrix(batch.column(column).take(pa.array(at[lo : lo + step])))
+                yield k, at[lo : lo + step], distances(x / np.linalg.norm(x, axis=1)[:, None], own[k])
 
     def assign(batches):
-        own = pivots.value
         for batch in batches:
-            keys = batch.column(0).to_pylist()
-            cell, far = np.zeros(len(keys), np.int32), np.zeros(len(keys))
-            for k in sorted(set(keys) & set(own)):
-                at = np.flatnonzero([x == k for x in keys])
-                x = _matrix(batch.column(2).take(pa.array(at)))
-                d = distances(x / np.linalg.norm(x, axis=1)[:, None], own[k])
+            cell, far = np.zeros(batch.num_rows, np.int32), np.zeros(batch.num_rows)
+            for _, at, d in angles(batch, 2):
                 cell[at], far[at] = d.argmin(axis=1), d.min(axis=1)
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(cell), pa.array(far)], ["k", "rep", "v", "m", "cell", "far"])
-
-    kind = dict(points.dtypes)["v"]
-    homed = points.select(F.to_json("key").alias("k"), "rep", "v", "m").mapInArrow(assign, f"k string, rep long, v {kind}, m long, cell int, far double")
-    homed = cut(homed)
-    parts = homed.groupBy("k", "cell").agg(F.max("far").alias("radius"), F.ceil(F.count("*") / (2 * size)).cast("int").alias("parts"))
-    homed = homed.join(parts.select("k", "cell", "parts"), ["k", "cell"]).select("k", "cell", "rep", "v", "m", F.pmod(F.xxhash64("rep", F.lit(12)), "parts").cast("int").alias("part"))
-    parts = cut(parts)
-    table = [(r["k"], r["cell"], r["radius"]) for r in parts.select("k", "cell", "radius").where(F.col("k").isin([*by_key]) if by_key else F.lit(False)).collect()]  # at most as many as pivots
-    radii = spark.sparkContext.broadcast({(k, c): r for k, c, r in table})
-    most = math.sqrt(2 - 2 * threshold)
-
-    def partners(batches):
-        """The cells that a cell must meet: those of its key whose centres are near enough, itself included."""
-        own, of = radii.value, pivots.value
-        cells: dict[str, np.ndarray] = {}
-        for k, c in own:
-            cells.setdefault(k, []).append(c)
-        cells = {k: np.array(sorted(c)) for k, c in cells.items()}
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(cell), pa.array(far)], ["k", "rep", "v", "m", "hash", "cell", "far"])
+
+    homed = cut(points.select(F.to_json("key").alias("k"), "rep", "v", "m", F.xxhash64("v").alias("hash")).mapInArrow(assign, f"k string, rep long, v {kind}, m long, hash long, cell int, far double"))
+    cells = cut(homed.groupBy("k", "cell").agg(F.max("far").alias("radius"), F.ceil(F.count("*") / (2 * CELL)).cast("int").alias("parts")))
+    known = cells.where(F.col("k").isin([*by_key]) if by_key else F.lit(False)).select("k", "cell", "radius").collect()  # at most as many as pivots
+    radius = {k: np.full(len(x), -1.0) for k, x in by_key.items()}  # a pivot without points is visited by none
+    for r in known:
+        radius[r["k"]][r["cell"]] = r["radius"]
+    radii = spark.sparkContext.broadcast(radius)
+    most = math.acos(threshold)
+
+    def visit(batches):
+        """The later cells of its key that each vector must visit."""
         for batch in batches:
-            ks, cs, others = [], [], []
-            for k, c in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                if k in of:
-                    all_ = cells[k]
-                    d = distances(of[k][c : c + 1], of[k][all_])[0]
-                    near = all_[d <= own[k, c] + np.array([own[k, o] for o in all_.tolist()]) + most + SLACK]
-                else:
-                    near = np.array([c])
-                ks += [k] * len(near)
-                cs += [c] * len(near)
-                others += near.tolist()
-            yield pa.RecordBatch.from_arrays([pa.array(ks, pa.string()), pa.array(cs, pa.int32()), pa.array(others, pa.int32())], ["k", "cell", "other"])
-
-    met = parts.select("k", "cell").mapInArrow(partners, "k string, cell int, other int")
-    met = met.join(parts.select("k", F.col("cell").alias("other"), F.col("parts").alias("other_parts")), ["k", "other"])
-    met = met.select("k", "cell", "other", F.explode(F.sequence(F.lit(0), F.col("other_parts") - 1)).alias("other_part"))
-    here = F.struct("cell", "part")
-    there = F.struct(F.col("other").alias("cell"), F.col("other_part").alias("part"))
-    sent = homed.join(met, ["k", "cell"]).select("k", "rep", "v", "m", F.least(here, there).alias("low"), F.greatest(here, there).alias("high"), (here <= there).alias("first"))
+            cell, rows, visited = batch.column(5).to_numpy(), [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+            for k, at, d in angles(batch, 2):
+                of = radii.value[k]
+                r, c = np.nonzero((d <= of + most + SLACK) & (of >= 0) & (np.arange(len(of)) > cell[at][:, None]))
+                rows.append(at[r])
+                visited.append(c)
+            part = batch.take(pa.array(np.concatenate(rows)))
+            yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), part.column(4), pa.array(np.concatenate(visited).astype(np.int32))], ["k", "rep", "hash", "cell"])
+
+    visits = cut(homed.mapInArrow(visit, "k string, rep long, hash long, cell int"))
+    crowds = visits.groupBy("k", "cell").agg(F.ceil(F.count("*") / (2 * CELL)).cast("int").alias("crowds"))
+    cells = cut(cells.select("k", "cell", "parts").join(crowds, ["k", "cell"], "left"))
+    many = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    own_part = F.pmod(F.xxhash64("rep", F.lit(12)), "parts").cast("int")
+    hosts = homed.join(cells, ["k", "cell"]).withColumn("part", own_part)
+    # a cell's parts meet each other, and its visitors, dealt into crowds of bounded size, meet every part
+    own = hosts.select("k", "cell", "rep", "v", "m", "part", many("parts").alias("other"))
+    own = own.select("k", "cell", "rep", "v", "m", F.least("part", "other").alias("low"), F.greatest("part", "other").alias("high"), (F.col("part") <= F.col("other")).alias("first"))
+    hosts = hosts.where("crowds > 0").select("k", "cell", "rep", "v", "m", many("crowds").alias("low"), F.col("part").alias("high"), F.lit(False).alias("first")).withColumn("low", -1 - F.col("low"))
+    coming = visits.join(cells, ["k", "cell"]).withColumn("low", -1 - F.pmod(F.xxhash64("rep", F.lit(13)), "crowds").cast("int")).select("k", "cell", "rep", "hash", "low", many("parts").alias("high"))
+    coming = coming.join(homed.select("k", "rep", "hash", "v", "m"), ["k", "rep", "hash"]).select("k", "cell", "rep", "v", "m", "low", "high", F.lit(True).alias("first"))
+    sent = own.unionByName(hosts).unionByName(coming)
 
     def traverse(key, group):
         first = group.column("first").to_numpy(zero_copy_only=False).astype(bool)
         rep, m = group.column("rep").to_numpy(), group.column("m").to_numpy().astype(np.float64)
-        if key[1].as_py() == key[2].as_py():
+        if key[2].as_py() == key[3].as_py():
             n, _, root = meet(_matrix(group.column("v")), None, threshold, m, m)
             own = rep
         else:
@@ -226,7 +252,7 @@ def near_vectors(vectors: DataFrame, vec_id: str = "vec_id", vector: str = "embe
         hit = n > 0
         return pa.table({"a": pa.array(own[hit]), "b": pa.array(own[root[hit]]), "n": pa.array(np.rint(n[hit]).astype(np.int64))})
 
-    links = cut(sent.groupBy("k", "low", "high").applyInArrow(traverse, "a long, b long, n long"))
+    links = cut(sent.groupBy("k", "cell", "low", "high").applyInArrow(traverse, "a long, b long, n long"))
     joined = connected_components(links, "a", "b").withColumnRenamed("id", "rep")
     linked = links.groupBy(F.col("a").alias("rep")).agg(F.sum("n").alias("n"))
     named = points.select("label", "v", "rep", "m").join(linked, "rep", "left").join(joined, "rep", "left")
