@@ -179,8 +179,8 @@ def labelled_lines(n: int, seed: int = 5) -> list[tuple[str, list[Span]]]:
 class PiiSettings:
     """window, margin: of decoding, each window begins that much before the last one's end, twice; train_window: of training."""
 
-    window: int = 256
-    margin: int = 32
+    window: int = 384
+    margin: int = 24
     train_window: int = 80
     embed: int = 12
     hidden: int = 16
