@@ -33,8 +33,8 @@ def top_members(scores: DataFrame, k: int, keys: Sequence[str] = ()) -> DataFram
 
 
 def gate(ens: DataFrame, p: float, keys: Sequence[str] = ("ticker",)) -> DataFrame:
-    """ens with rank (causal, against the contract's own past) and mask: hysteresis on at p, off below p / 2; p <= 0 is always on."""
-    ranked = expanding_rank(ens, "kappa", "rank", keys, least=RANK_HISTORY)
+    """ens with day (see calendar), rank (causal, against the contract's own past) and mask: hysteresis on at p, off below p / 2; p <= 0 is always on."""
+    ranked = expanding_rank(_numbered(ens), "kappa", "rank", keys, least=RANK_HISTORY)
     w = Window.partitionBy(*keys).orderBy("date").rowsBetween(Window.unboundedPreceding, 0)
     return ranked.withColumn("mask", hysteresis(F.col("rank"), p, p / 2, w) if p > 0 else F.lit(True))
 
@@ -51,6 +51,11 @@ def calendar(rows: DataFrame) -> DataFrame:
     return dates.withColumn("day", F.row_number().over(Window.orderBy("date")))  # one row a date
 
 
+def _numbered(rows: DataFrame) -> DataFrame:
+    """rows with day; numbered once, before ranks are computed, so that these aren't computed a second time for their dates."""
+    return rows if "day" in rows.columns else rows.join(calendar(rows), "date")
+
+
 def _turnover(rows: DataFrame, holding: Column) -> DataFrame:
     """rows with turnover: the change of the holding since the calendar's day before; none across a gap."""
     w = Window.partitionBy("ticker").orderBy("day")
@@ -60,7 +65,7 @@ def _turnover(rows: DataFrame, holding: Column) -> DataFrame:
 
 
 def _daily(rows: DataFrame, capital: Column) -> DataFrame:
-    rows = rows.join(calendar(rows), "date").withColumn("capital", capital)
+    rows = _numbered(rows).withColumn("capital", capital)
     rows = _turnover(rows, F.col("mean") * F.col("capital") * F.col("lev"))
     day = rows.groupBy("date").agg(
         F.coalesce(F.sum(F.col("mean") * F.col("capital") * F.col("target")), F.lit(0.0)).alias("gross"), F.coalesce(F.sum("turnover"), F.lit(0.0)).alias("turnover"),
@@ -115,7 +120,7 @@ def conditional_sharpe(gated: DataFrame, bps: float = 0.0, keys: Sequence[str] =
 
 def abstention(gated: DataFrame, burn_in: int = BURN_IN) -> DataFrame:
     """ticker, days, abstained: the share of days off after the calendar's first burn_in days."""
-    rows = gated.join(calendar(gated), "date").where(F.col("day") > burn_in)
+    rows = _numbered(gated).where(F.col("day") > burn_in)
     return rows.groupBy("ticker").agg(F.count("*").alias("days"), F.avg((~F.col("mask")).cast("double")).alias("abstained"))
 
 
@@ -125,3 +130,55 @@ def fixed_portfolio(positions: DataFrame, n: int, keys: Sequence[str] = ()) -> D
     held = F.col("position") * F.col("lev")
     rows = positions.withColumn("_t", F.coalesce(F.abs(held - F.lag(held).over(w)), F.lit(0.0)))
     return rows.groupBy(*keys, "date").agg((F.sum(F.col("position") * F.col("target")) / n).alias("gross"), (F.sum("_t") / n).alias("turnover"))
+
+
+def ensemble_size(trials: Column, wanted: int | None = None) -> Column:
+    """The members that a report takes: five, or all of fewer trials; a wanted number must lie in 1 to trials."""
+    if wanted is None:
+        return F.least(F.lit(5), trials)
+    return F.when((trials >= wanted) & F.lit(wanted >= 1), F.lit(wanted)).otherwise(F.raise_error(F.lit(f"an ensemble of {wanted} asks for other trials")).cast("int"))
+
+
+def gate_grid(ens: DataFrame, ps: Sequence[float], ms: Sequence[float]) -> DataFrame:
+    """variant, p, m, date, gross, turnover, n_available, n_active for both rules under all thresholds and caps.
+
+    The ranks, the sequential part, are computed once; thresholds, rules and caps are exploded after them.
+    """
+    ranked = expanding_rank(_numbered(ens), "kappa", "rank", ["ticker"], least=RANK_HISTORY).where("target IS NOT NULL")
+    rows = ranked.withColumn("p", F.explode(F.array(*[F.lit(float(p)) for p in ps])))
+    past = Window.partitionBy("p", "ticker").orderBy("date").rowsBetween(Window.unboundedPreceding, 0)
+    state = F.when(F.col("rank").isNull() | (F.col("rank") >= F.col("p")), True).when(F.col("rank") < F.col("p") / 2, False)
+    rows = rows.withColumn("mask", (F.col("p") <= 0) | F.coalesce(F.last(state, ignorenulls=True).over(past), F.lit(True)))
+    day = Window.partitionBy("p", "date")
+    sure = F.when(F.col("mask"), F.coalesce("rank", F.lit(0.5)))
+    rows = rows.withColumns({"_n": F.count("*").over(day), "_a": F.sum(F.col("mask").cast("long")).over(day), "_c": sure, "_w": F.sum(sure).over(day)})
+    cells = F.explode(F.array(*[F.struct(F.lit(v).alias("variant"), F.lit(float(m)).alias("m")) for v in ("rank-hyst", "rank-cwhyst") for m in ms]))
+    rows = rows.withColumn("_cell", cells).select("*", "_cell.variant", "_cell.m")
+    on, n = F.col("mask").cast("double"), F.col("_n")
+    equal = F.coalesce(F.try_divide(on, F.greatest(F.col("_a").cast("double"), n / F.col("m"))), F.lit(0.0))
+    extra = F.coalesce(F.try_divide(F.col("_c"), F.col("_w")) * F.greatest(F.lit(0.0), (n - F.col("_a")) / n), F.lit(0.0))
+    rows = rows.withColumn("_capital", F.when(F.col("variant") == "rank-hyst", equal).otherwise(F.least(on / n + extra, F.col("m") / n)))
+    own = Window.partitionBy("variant", "p", "m", "ticker").orderBy("day")
+    held = F.col("mean") * F.col("_capital") * F.col("lev")
+    rows = rows.withColumn("_h", held)
+    rows = rows.withColumn("_t", F.when(F.col("day") - F.lag("day").over(own) == 1, F.abs(F.col("_h") - F.lag("_h").over(own))))
+    label = F.when(F.col("m") == math.inf, "inf").otherwise(F.format_string("%.4f", "m"))
+    label = F.regexp_replace(label, r"\.?0+$", "")
+    return rows.groupBy("variant", "p", label.alias("m"), "date").agg(
+        F.coalesce(F.sum(F.col("mean") * F.col("_capital") * F.col("target")), F.lit(0.0)).alias("gross"), F.coalesce(F.sum("_t"), F.lit(0.0)).alias("turnover"),
+        F.count("*").alias("n_available"), F.sum(F.col("mask").cast("long")).alias("n_active"),
+    )
+
+
+def select_policy(daily: DataFrame, variant: str, p: float, m: str) -> DataFrame:
+    """The days of one cell of gate_grid(); a date with two rows is an error."""
+    rows = daily.where((F.col("variant") == variant) & (F.abs(F.col("p") - p) < 1e-9) & (F.col("m") == m)).drop("variant", "p", "m")
+    twice = F.count("*").over(Window.partitionBy("date")) > 1
+    return rows.withColumn("_twice", twice).withColumn("date", F.when(F.col("_twice"), F.raise_error(F.lit("a date of the policy has two rows")).cast("date")).otherwise(F.col("date"))).drop("_twice")
+
+
+def calendar_gaps(first: DataFrame, second: DataFrame) -> DataFrame:
+    """date, lacks_first, lacks_second for the dates that only one of two policies has; equal calendars give none."""
+    a, b = first.select("date", F.lit(1).alias("_a")), second.select("date", F.lit(1).alias("_b"))
+    both = a.join(b, "date", "full").where("_a IS NULL OR _b IS NULL")
+    return both.select("date", F.col("_a").isNull().alias("lacks_first"), F.col("_b").isNull().alias("lacks_second"))

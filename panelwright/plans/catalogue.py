@@ -436,11 +436,16 @@ def sim_ccd_dnf(spark, d):
 # ---- aggregates -----------------------------------------------------------------------------------------------
 
 
+def _stand_in_fits(spark, d) -> DataFrame:
+    """Moments of each series in the place of fitted parameters, so that SQL can follow."""
+    high = F.avg((F.col("return_pct") > 100).cast("int"))
+    rows = _log(spark, d).groupBy("asset_class", "ticker").agg(F.avg("return_pct").alias("mean"), F.var_pop("return_pct").alias("hbar"), high.alias("alpha"))
+    return rows.withColumns({"persistence": 1 - F.col("alpha") / 2, "beta": 1 - 1.5 * F.col("alpha"), "omega": F.col("hbar") * F.col("alpha") / 2, "negative_log_likelihood": F.log("hbar")})
+
+
 @_query
 def agg_prior_quantiles(spark, d):
-    fits = _log(spark, d).groupBy("asset_class", "ticker").agg(F.avg("return_pct").alias("mean"), F.var_pop("return_pct").alias("hbar"), F.avg((F.col("return_pct") > 100).cast("int")).alias("alpha"))
-    out = R.prior_from_fits(fits.withColumn("persistence", F.col("alpha")), ["asset_class"])
-    return _round(out.drop("persistence_low", "persistence_high"))
+    return _round(R.prior_from_fits(_stand_in_fits(spark, d), ["asset_class"]))
 
 
 @_query

@@ -55,9 +55,10 @@ CTES: dict[str, str] = {
     "netted": "SELECT date, sum(mean * capital * target) AS gross FROM capped GROUP BY 1",
     "changes": "SELECT key, pos AS position FROM stream WHERE pos >= 100 AND pos % 200 = 0",
     "matched": "SELECT c.key, c.position, min(a.pos) AS matched FROM changes c LEFT JOIN alarms a ON a.key = c.key AND a.pos >= c.position AND a.pos < c.position + 50 GROUP BY 1, 2",
+    "fits": "SELECT *, 1 - alpha / 2 AS persistence, 1 - 1.5 * alpha AS beta, hbar * alpha / 2 AS omega FROM (SELECT asset_class, ticker, avg(return_pct) AS mean, var_pop(return_pct) AS hbar, avg((return_pct > 100)::INT) AS alpha FROM logret GROUP BY 1, 2)",
     "folio": "SELECT asset_class, date, avg(r) AS r FROM simple WHERE r IS NOT NULL GROUP BY 1, 2",
 }
-RECURSIVE = {"chart"}
+RECURSIVE = {"chart", "likely"}
 
 
 def _no_minus_zero(select: str) -> str:
@@ -184,8 +185,9 @@ ORACLES: dict[str, str] = {
         tallies="SELECT m.key, count(matched) AS correct, count(*) - count(matched) AS missed, (SELECT count(*) FROM alarms a WHERE a.key = m.key) - count(matched) AS wrong FROM matched m GROUP BY m.key",
     ),
     "agg_prior_quantiles": query(
-        "SELECT asset_class, round(median(mean), 6) AS mu_mean, round(greatest(coalesce(stddev_samp(mean), 0), 0.05), 6) AS mu_sd, round(median(ln(hbar)), 6) AS log_hbar_mean, round(greatest(coalesce(stddev_samp(ln(hbar)), 0), 0.25), 6) AS log_hbar_sd, round(quantile_cont(alpha, 0.1), 6) AS alpha_low, round(quantile_cont(alpha, 0.9), 6) AS alpha_high FROM fits GROUP BY 1",
-        fits="SELECT asset_class, ticker, avg(return_pct) AS mean, var_pop(return_pct) AS hbar, avg((return_pct > 100)::INT) AS alpha FROM logret GROUP BY 1, 2",
+        "SELECT asset_class, round(m, 6) AS mu_mean, round(greatest(ms, 0.05), 6) AS mu_sd, round(l, 6) AS log_hbar_mean, round(greatest(ls, 0.25), 6) AS log_hbar_sd, round(alpha_low, 6) AS alpha_low, round(alpha_high, 6) AS alpha_high, round(persistence_low, 6) AS persistence_low, round(least(greatest(p9, persistence_low + 0.005), 0.995), 6) AS persistence_high, 25.0::DOUBLE AS hbar_cap FROM lasting",
+        lasting="SELECT *, least(greatest(p1, alpha_high + 0.01), 0.985) AS persistence_low FROM (SELECT *, least(greatest(a9, alpha_low + 0.01), 0.4) AS alpha_high FROM (SELECT *, least(greatest(a1, 0.01), 0.4) AS alpha_low FROM moments))",
+        moments="SELECT asset_class, median(mean) AS m, stddev_samp(mean) AS ms, avg(ln(greatest(hbar, 1e-4))) AS l, stddev_samp(ln(greatest(hbar, 1e-4))) AS ls, quantile_cont(alpha, 0.1) AS a1, quantile_cont(alpha, 0.9) AS a9, quantile_cont(persistence, 0.1) AS p1, quantile_cont(persistence, 0.9) AS p9 FROM fits GROUP BY 1",
     ),
     "agg_nested_scores": query(
         "SELECT law, round(avg(score), 6) AS pooled FROM (SELECT law, asset_class, avg(score) AS score FROM scores GROUP BY 1, 2) GROUP BY 1",

@@ -97,3 +97,14 @@ def unknown_tickers(wanted: DataFrame, panel: DataFrame) -> DataFrame:
 def universe(spark: SparkSession, rows: Iterable[tuple[str, str, int]]) -> DataFrame:
     """The static dimension (ticker, asset_class, first_year, ord), in canonical order."""
     return spark.createDataFrame([(*r, i) for i, r in enumerate(rows)], "ticker string, asset_class string, first_year int, ord int")
+
+
+def early_rows(df: DataFrame, start: dt.date) -> DataFrame:
+    """ticker, early: how many rows of a ticker lie before the study's start; none if all is well."""
+    return df.where(F.col("date") < F.lit(start)).groupBy("ticker").agg(F.count("*").alias("early"))
+
+
+def require_start(df: DataFrame, start: dt.date) -> DataFrame:
+    """df, whose rows before start are an error when they are read."""
+    late = F.when(F.col("date") >= F.lit(start), F.col("date")).otherwise(F.raise_error(F.lit(f"a row lies before {start}")).cast("date"))
+    return df.withColumn("date", late)

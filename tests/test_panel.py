@@ -12,7 +12,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from panelwright.operators import charts, ensemble, events, metrics, positions, regimes, windows
-from panelwright.plans import catalogue, sql
+from panelwright.plans import catalogue, reports, sql
 from panelwright.sources import panel
 
 DAY = dt.date(2000, 1, 1)
@@ -22,47 +22,82 @@ def series(spark, values, name="x"):
     return spark.createDataFrame([("a", i, DAY + dt.timedelta(i), v) for i, v in enumerate(values)], f"ticker string, pos int, date date, {name} double")
 
 
-def test_upcrossing(spark):
-    w = Window.partitionBy("ticker").orderBy("pos")
-    rows = series(spark, [0.0, 0.2, 0.8, 0.9, 0.3, 0.7]).withColumn("up", windows.upcrossing(F.col("x") > 0.5, F.col("pos"), w, 0))
-    assert [r["pos"] for r in rows.where("up").orderBy("pos").collect()] == [2, 5]
-
-
-def test_matching_sweeps_in_order(spark):
-    alarms = spark.createDataFrame([("k", p) for p in (8, 10, 12, 31, 35, 90)], "key string, pos int")
-    near = spark.createDataFrame([("k", p) for p in (10, 30)], "key string, position int")
-    assert {r["position"]: r["matched"] for r in events.match_alarms(alarms, near, ["key"], 5).collect()} == {10: 10, 30: 31}
-    tight = spark.createDataFrame([("k", p) for p in (8, 9, 10)], "key string, position int")
-    assert {r["position"]: r["matched"] for r in events.match_alarms(alarms, tight, ["key"], 5).collect()} == {8: 8, 9: 10, 10: 12}
-
+def drawn(seed, n, step=0.05, gaps=0.1):
+    """n values on a grid, so that ties with thresholds happen, some of them null."""
+    rng = np.random.default_rng(seed)
+    return [None if rng.random() < gaps else float(np.round(rng.integers(0, 21) * step, 2)) for _ in range(n)]
 
-def test_delay_summary(spark):
-    rows = spark.createDataFrame([("k", 10), ("k", 75), ("k", None), ("k", 49)], "key string, delay int")
-    r = events.delay_summary(rows, ["key"], 50).first()
-    assert (r["miss_rate"], r["miss_horizon"]) == (0.5, 0.25) and abs(r["mean_delay"] - 134 / 3) < 1e-12
 
-
-def test_off_event(spark):
-    rows = spark.createDataFrame([("k", i) for i in range(150)], "key string, pos int")
-    alarms = spark.createDataFrame([("k", p) for p in (20, 55, 75, 130)], "key string, pos int")
-    r = events.off_event(rows, alarms, spark.createDataFrame([("k", 50)], "key string, position int"), ["key"], 10, 0, 30).first()
-    assert (r["alarms"], r["exposure"]) == (2, 110)
-
-
-def test_hysteresis(spark):
+@pytest.mark.parametrize("seed", range(3))
+def test_upcrossing_equals_a_loop(spark, seed):
+    values, start = drawn(seed, 60, gaps=0), 5 * seed
+    w = Window.partitionBy("ticker").orderBy("pos")
+    rows = series(spark, values).withColumn("up", windows.upcrossing(F.col("x") > 0.6, F.col("pos"), w, start))
+    want = [i for i, v in enumerate(values) if v > 0.6 and i >= start and (i == 0 or not values[i - 1] > 0.6)]
+    assert [r["pos"] for r in rows.where("up").orderBy("pos").collect()] == want and want
+
+
+@pytest.mark.parametrize("seed", range(4))
+def test_matching_equals_a_sweep(spark, seed):
+    rng = np.random.default_rng(seed)
+    alarms, changes, width = sorted(set(rng.integers(0, 120, 25).tolist())), sorted(set(rng.integers(0, 120, 6 + 6 * (seed % 2)).tolist())), 9
+    free, want = list(alarms), {}
+    for c in changes:
+        want[c] = next((x for x in free if c <= x < c + width), None)
+        free = [x for x in free if x != want[c]]
+    marks = spark.createDataFrame([("k", c) for c in changes], "key string, position int")
+    found = events.match_alarms(spark.createDataFrame([("k", x) for x in alarms], "key string, pos int"), marks, ["key"], width)
+    assert {r["position"]: r["matched"] for r in found.collect()} == want
+
+
+def test_delay_summary_equals_a_loop(spark):
+    rng = np.random.default_rng(6)
+    delays = [None if rng.random() < 0.2 else int(rng.integers(0, 100)) for _ in range(57)] + [60]
+    r = events.delay_summary(spark.createDataFrame([("k", x) for x in delays], "key string, delay int"), ["key"], 60).first()
+    known = [x for x in delays if x is not None]
+    assert r["miss_rate"] == pytest.approx(sum(x is None or x >= 60 for x in delays) / len(delays)) and r["miss_horizon"] == pytest.approx((len(delays) - len(known)) / len(delays))
+    assert r["mean_delay"] == pytest.approx(np.mean(known))
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_off_event_equals_a_loop(spark, seed):
+    rng = np.random.default_rng(seed)
+    n, burn_in, alarms, marks = 130, 17, sorted(set(rng.integers(0, 130, 30).tolist())), rng.integers(0, 120, 4).tolist()
+    free = [i for i in range(burn_in, n) if not any(m - 3 <= i < m + 11 for m in marks)]
+    rows = spark.createDataFrame([("k", i) for i in range(n)], "key string, pos int")
+    own = spark.createDataFrame([("k", x) for x in alarms], "key string, pos int")
+    r = events.off_event(rows, own, spark.createDataFrame([("k", m) for m in marks], "key string, position int"), ["key"], burn_in, -3, 11).first()
+    assert (r["alarms"], r["exposure"]) == (len(set(alarms) & set(free)), len(free))
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_hysteresis_equals_a_loop(spark, seed):
+    values, state, want = drawn(seed + 10, 80), True, []
+    for v in values:
+        state = True if v is None or v >= 0.7 else False if v < 0.35 else state
+        want.append(state)
     w = Window.partitionBy("ticker").orderBy("pos").rowsBetween(Window.unboundedPreceding, 0)
-    rows = series(spark, [0.6, 0.3, 0.15, 0.09, 0.3, 0.6, None]).withColumn("on", windows.hysteresis(F.col("x"), 0.5, 0.25, w))
-    assert [r["on"] for r in rows.orderBy("pos").collect()] == [True, True, False, False, False, True, True]
+    rows = series(spark, values).withColumn("on", windows.hysteresis(F.col("x"), 0.7, 0.35, w))
+    assert [r["on"] for r in rows.orderBy("pos").collect()] == want and len(set(want)) == 2
 
 
-@pytest.mark.parametrize(("m", "want"), [(1.0, 8), (2.0, 4), (math.inf, 3)])
-def test_divisor(spark, m, want):
-    assert spark.range(1).select(ensemble.divisor(F.lit(8), F.lit(3), m)).first()[0] == want
+def test_divisor_by_its_definition(spark):
+    rows = spark.createDataFrame([(n, a) for n in range(1, 12) for a in range(n + 1)], "n long, a long")
+    for m in (1.0, 1.5, 3.0, math.inf):
+        for r in rows.select("n", "a", ensemble.divisor(F.col("n"), F.col("a"), m).alias("d")).collect():
+            assert r["d"] == (r["a"] if math.isinf(m) else max(r["a"], r["n"] / m))
+    with pytest.raises(ValueError, match="at least 1"):
+        ensemble.divisor(F.lit(1), F.lit(1), 0.5)
 
 
-def test_blocks_and_ratio(spark):
-    assert metrics.circular_blocks(5, 4, [3, 3]).tolist() == [3, 4, 0, 1, 3]
-    assert metrics.performance(series(spark, [0.01, -0.005, 0.0, -0.015], "r"), "r", ["ticker"]).first()["gain_loss"] == pytest.approx(1.0)
+def test_circular_blocks_and_ratio(spark):
+    rng = np.random.default_rng(8)
+    for n, length in ((7, 3), (10, 10), (9, 20)):
+        starts = rng.integers(0, n, -(-n // length)).tolist()
+        assert metrics.circular_blocks(n, length, starts).tolist() == [(s + k) % n for s in starts for k in range(length)][:n]
+    returns = rng.normal(0.001, 0.01, 90).round(4).tolist() + [0.0]
+    gains, losses = [x for x in returns if x > 0], [x for x in returns if x < 0]
+    assert metrics.performance(series(spark, returns, "r"), "r", ["ticker"]).first()["gain_loss"] == pytest.approx(np.mean(gains) / abs(np.mean(losses)))
 
 
 def test_bootstrap_of_equal_series(spark):
@@ -104,7 +139,38 @@ def test_filter_invariants():
 def test_garch_finds_the_stream():
     values, _ = regimes.garch_stream(np.random.default_rng(3), 800, [(0, {"mu": 0.0, "omega": 0.05, "alpha": 0.08, "beta": 0.87, "hbar": 1.0})])
     fit = regimes.fit_garch(values, starts=1)
-    assert 0.6 < fit["persistence"] < 1 and 0.3 < fit["hbar"] < 3
+    assert 0.6 < fit["persistence"] < 1 and 0.3 < fit["hbar"] < 3 and regimes.interior(fit)
+    mean, omega, alpha, beta = (fit[k] for k in ("mean", "omega", "alpha", "beta"))
+    h = [values.var()]
+    for x in values[:-1]:
+        h.append(omega + alpha * (x - mean) ** 2 + beta * h[-1])
+    h = np.array(h)
+    assert fit["negative_log_likelihood"] == pytest.approx(0.5 * (np.log(2 * np.pi * h) + (values - mean) ** 2 / h).sum())
+    assert not regimes.interior({**fit, "alpha": 0.0}) and not regimes.interior({**fit, "hbar": math.nan}) and not regimes.interior({**fit, "persistence": 0.5 * fit["persistence"]})
+    with pytest.raises(ValueError, match="100"):
+        regimes.fit_garch(values[:99])
+
+
+def test_class_priors_pool_small_classes(spark):
+    rng = np.random.default_rng(5)
+    rows = [(c, float(rng.normal()), float(rng.gamma(2.0)), float(rng.uniform(0, 0.6)), float(rng.uniform(0.3, 1.0))) for c, n in (("a", 7), ("b", 2), ("c", 1)) for _ in range(n)]
+    fits = spark.createDataFrame(rows, "k string, mean double, hbar double, alpha double, persistence double")
+    got = {r["k"]: r for r in regimes.class_priors(fits, "k", spark.createDataFrame([("a",), ("b",), ("c",), ("d",)], "k string")).collect()}
+
+    def plain(own):
+        mean, hbar, alpha, lasting = (np.array([r[i] for r in own]) for i in (1, 2, 3, 4))
+        level = np.log(np.maximum(hbar, 1e-4))
+        low = min(max(np.quantile(alpha, 0.1), 0.01), 0.4)
+        high = min(max(np.quantile(alpha, 0.9), low + 0.01), 0.4)
+        first = min(max(np.quantile(lasting, 0.1), high + 0.01), 0.985)
+        last = min(max(np.quantile(lasting, 0.9), first + 0.005), 0.995)
+        return [np.median(mean), max(mean.std(ddof=1), 0.05), level.mean(), max(level.std(ddof=1), 0.25), low, high, first, last, 25.0]
+
+    for k in "abcd":
+        own = [r for r in rows if r[0] == k]
+        assert got[k]["pooled"] == (len(own) < 2) and np.allclose([got[k][c] for c in regimes.PRIOR], plain(own if len(own) >= 2 else rows))
+    with pytest.raises(Exception, match="two fits"):
+        regimes.prior_from_fits(fits.where("k = 'c'"), ["k"]).collect()
 
 
 def test_position_gradient():
@@ -129,14 +195,20 @@ def test_position_gradient():
 
 
 def test_archive(spark, tmp_path):
+    days = [DAY + dt.timedelta(i) for i in range(6)]
+    closes = {t: (50 + 10 * np.random.default_rng(k).random(6)).round(2).tolist() for k, t in enumerate(("AA", "BB"))}
     with zipfile.ZipFile(tmp_path / "a.zip", "w") as z:
-        for t in ("ES", "TY"):
-            z.writestr(f"DATA/{t}_RAD.CSV", "12/29/1989,1,1,1,100,1,1\n01/02/1990,1,1,1,110,1,1\n01/03/1990,1,1,1,121,1,1\n")
-    rows = panel.zip_panel(spark, str(tmp_path / "a.zip"), ["ES"], start=dt.date(1990, 1, 1))
-    got = windows.log_returns(panel.require_sound(rows)).collect()
-    assert [(r["date"], round(r["return_pct"], 9)) for r in got] == [(dt.date(1990, 1, 3), round(100 * math.log(1.1), 9))]
+        for t, own in closes.items():
+            z.writestr(f"DATA/{t}_RAD.CSV", "".join(f"{d:%m/%d/%Y},1,1,1,{c},1,1\n" for d, c in zip(days, own)))
+    rows = panel.zip_panel(spark, str(tmp_path / "a.zip"), ["BB"], start=days[2])
+    got = windows.log_returns(panel.require_sound(rows)).orderBy("date").collect()
+    want = [(days[i], 100 * math.log(closes["BB"][i] / closes["BB"][i - 1])) for i in range(3, 6)]
+    assert [r["date"] for r in got] == [w[0] for w in want] and np.allclose([r["return_pct"] for r in got], [w[1] for w in want])
     with pytest.raises(Exception, match="lacks"):
         panel.zip_panel(spark, str(tmp_path / "a.zip"), ["XX"]).count()
+    assert panel.require_start(rows, days[2]).count() == 4
+    with pytest.raises(Exception, match="lies before"):
+        panel.require_start(rows, days[3]).collect()
 
 
 @pytest.mark.parametrize("name", ["garch_fit", "bocpd_iid", "bocpd_garch", "bocpd_garch_t", "nu_select"])
@@ -188,20 +260,21 @@ def test_models_have_full_sizes(spark, monkeypatch, name, calls, want):
     assert name != "lstm_replicate" or seen[1]["jobs"] == 20
 
 
-ORACLE_NAMES = ["perf_metrics", "evt_combined_delay", "chart_cusum_combined", "sim_ccd_dnf", "boot_blocks_fixed"]
+ORACLE_NAMES = ["perf_metrics", "evt_combined_delay", "chart_cusum_combined", "sim_ccd_dnf", "boot_blocks_fixed", "agg_prior_quantiles", "gate_portfolio", *reports.QUERIES]
+QUERIES, ORACLES = catalogue.QUERIES | reports.QUERIES, sql.ORACLES | reports.ORACLES
 
 
 @pytest.mark.parametrize("name", ORACLE_NAMES)
 def test_queries_equal_sql(spark, name):
     folder, con = "/root/testdata/sf0.01", duckdb.connect()
-    for t in ("region", "nation", "customer", "orders", "lineitem", "events"):
+    for t in ("region", "nation", "customer", "supplier", "orders", "lineitem", "events"):
         con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{folder}/{t}.parquet'")
-    got, want = catalogue.QUERIES[name](spark, folder).toPandas(), con.sql(sql.ORACLES[name]).df()
+    got, want = QUERIES[name](spark, folder).toPandas(), con.sql(ORACLES[name]).df()
     columns = sorted(got.columns)
     assert columns == sorted(want.columns) and len(got) == len(want)
     a, b = (x[columns].sort_values(columns).reset_index(drop=True) for x in (got, want))
     for c in columns:
-        if pd.api.types.is_numeric_dtype(b[c]):
+        if pd.api.types.is_numeric_dtype(b[c]) and not pd.api.types.is_bool_dtype(b[c]):
             assert np.allclose(pd.to_numeric(a[c]).astype(float), b[c].astype(float), rtol=1e-5, atol=1e-6, equal_nan=True)
         else:
             assert a[c].astype(str).tolist() == b[c].astype(str).tolist()
