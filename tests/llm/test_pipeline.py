@@ -1,9 +1,18 @@
 """The pipeline's stages on awkward documents: columns kept, decisions in effect."""
 
+import pytest
+
 import corpus_pipeline as pipeline
+from panelwright.llm import pii
 from tests.llm.helpers import SCHEMA, TEXTS, documents
 
 
+@pytest.fixture(autouse=True)
+def untrained(monkeypatch):
+    """The stages' way is tested here, with the patterns' spans; the trained network has its tests with the operators."""
+    monkeypatch.setattr(pii, "train_pii", lambda: pii.PiiModel(pii.PiiSettings()))
+
+
 def test_stages(spark):
     docs = documents(spark, TEXTS).select("doc_id", "text", "lang", "source", "n_chars")
     names = [n for n, _ in pipeline.STAGES]
