@@ -8,6 +8,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from panelwright.operators.metrics import YEAR, sharpe
 from panelwright.operators.windows import expanding_rank, hysteresis
 
 EPSILON, RANK_HISTORY, MIN_ACTIVE, BURN_IN = 1e-9, 63, 60, 126
@@ -124,6 +125,56 @@ def abstention(gated: DataFrame, burn_in: int = BURN_IN) -> DataFrame:
     return rows.groupBy("ticker").agg(F.count("*").alias("days"), F.avg((~F.col("mask")).cast("double")).alias("abstained"))
 
 
+def class_windows(gated: DataFrame, costs: Sequence[float], window: Column) -> DataFrame:
+    """asset_class, policy, window, bps, sharpe of each class's sleeve under three rules within the class: ungated and hyst
+    hold equal shares of all or of the active contracts, confidence adds the freed capital by rank without a cap.
+
+    A day of the panel without a contract of the class counts as zero, without a row for it: the window's days are counted
+    from all classes. A class without any row in a window has none there.
+    """
+    day = Window.partitionBy("asset_class", "date")
+    sure, on, n = F.when(F.col("mask"), F.coalesce("rank", F.lit(0.5))), F.col("mask").cast("double"), F.col("_n")
+    rows = gated.where("target IS NOT NULL").withColumns({"_n": F.count("*").over(day), "_a": F.sum(F.col("mask").cast("long")).over(day), "_c": sure, "_w": F.sum(sure).over(day)})
+    extra = F.coalesce(F.try_divide(F.col("_c"), F.col("_w")) * (n - F.col("_a")) / n, F.lit(0.0))
+    shares = {"ungated": 1 / n, "hyst": on / n, "confidence": on / n + extra}
+    each = F.inline(F.array(*[F.struct(F.lit(k).alias("policy"), v.alias("_capital")) for k, v in shares.items()]))
+    rows = rows.select("asset_class", "ticker", "date", "day", "mean", "target", "lev", each).withColumn("_h", F.col("mean") * F.col("_capital") * F.col("lev"))
+    own = Window.partitionBy("policy", "ticker").orderBy("day")
+    rows = rows.withColumn("_t", F.when(F.col("day") - F.lag("day").over(own) == 1, F.abs(F.col("_h") - F.lag("_h").over(own))))
+    daily = rows.groupBy("policy", "asset_class", "date").agg(F.sum(F.col("mean") * F.col("_capital") * F.col("target")).alias("gross"), F.coalesce(F.sum("_t"), F.lit(0.0)).alias("turnover"))
+    whole = Window.partitionBy("policy", "window")  # a row a class and day
+    daily = daily.withColumn("window", window).withColumn("_d", F.dense_rank().over(whole.orderBy("date"))).withColumn("_days", F.max("_d").over(whole))
+    net = daily.withColumn("bps", F.explode(F.array(*[F.lit(float(b)) for b in costs]))).withColumn("net", F.col("gross") - F.col("bps") * 1e-4 * F.col("turnover"))
+    out = net.groupBy("asset_class", "policy", "window", "bps").agg(F.max("_days").alias("days"), F.count("net").alias("k"), F.avg("net").alias("x"), F.var_pop("net").alias("v"))
+    mean = F.col("k") * F.col("x") / F.col("days")
+    spread = F.col("k") * (F.col("v") + F.pow(F.col("x") - mean, 2)) + (F.col("days") - F.col("k")) * mean * mean
+    ratio = F.when((F.col("days") >= 2) & (spread > 0), mean / F.sqrt(spread / (F.col("days") - 1)) * math.sqrt(YEAR))
+    return out.select("asset_class", "policy", "window", "bps", ratio.alias("sharpe"))
+
+
+def class_summary(gated: DataFrame, least: int = MIN_ACTIVE) -> DataFrame:
+    """By class: contracts, abstention, conditional Sharpe ratios over all and over active days (weighted by a contract's days, of which it needs least),
+    ratios of the sleeves of all and of active contracts, and mean capital shares: equal ones, and those by confidence without a cap.
+    """
+    rows = confidence_capital(gated, math.inf).withColumn("_all", F.count("*").over(Window.partitionBy("date")))
+    got, on = F.col("mean") * F.col("target"), F.col("mask")
+    daily = rows.groupBy("asset_class", "date").agg(
+        F.count("*").alias("n"), F.sum(got).alias("u"), F.coalesce(F.sum(F.when(on, got)), F.lit(0.0)).alias("g"),
+        F.sum("capital").alias("c"), F.sum(1 / F.col("_all")).alias("s"), F.count_if(~on).alias("off"),
+    ).withColumns({"u": F.col("u") / F.col("n"), "g": F.col("g") / F.col("n")})
+    by_class = daily.groupBy("asset_class").agg(
+        (F.sum("off") / F.sum("n")).alias("abstention"), sharpe("u").alias("sleeve_ungated"), sharpe("g").alias("sleeve_hyst"), F.sum("s").alias("_s"), F.avg("c").alias("share_confidence"),
+    )
+    # equal shares add up to one on every day of the panel, so that their sum over the classes counts the days
+    by_class = by_class.withColumn("share_baseline", F.col("_s") / F.sum("_s").over(Window.partitionBy(F.lit(0)))).drop("_s")
+    held = {"ungated": got, "gated": F.when(on, got)}
+    each = rows.groupBy("asset_class", "ticker").agg(*[a for k, v in held.items() for a in (F.count(v).alias(f"n_{k}"), F.avg(v).alias(f"x_{k}"), F.stddev_samp(v).alias(f"d_{k}"))])
+    used = {k: (F.col(f"n_{k}") >= least) & (F.col(f"d_{k}") > 0) for k in held}
+    ratios = [F.try_divide(F.sum(F.when(used[k], F.col(f"x_{k}") / F.col(f"d_{k}") * F.col(f"n_{k}"))), F.sum(F.when(used[k], F.col(f"n_{k}")))) * math.sqrt(YEAR) for k in held]
+    per_contract = each.groupBy("asset_class").agg(F.count("*").alias("contracts"), *[r.alias(f"cond_{k}") for k, r in zip(held, ratios)])
+    return by_class.join(per_contract, "asset_class")
+
+
 def fixed_portfolio(positions: DataFrame, n: int, keys: Sequence[str] = ()) -> DataFrame:
     """keys, date, gross, turnover with the constant divisor n; a contract's change is since its own last row."""
     w = Window.partitionBy(*keys, "ticker").orderBy("date")

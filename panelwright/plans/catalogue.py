@@ -27,7 +27,8 @@ SIGNALS = (1, 5, 10, 21, 42, 63)
 TRAIN_END = dt.date(1998, 12, 31)
 EVENTS = [("first", dt.date(1996, 6, 3), ["ASIA", "EUROPE"]), ("second", dt.date(1998, 8, 17), ["EUROPE", "AMERICA", "AFRICA"]), ("third", dt.date(2000, 3, 10), ["AMERICA"]), ("late", dt.date(2030, 1, 1), ["ASIA"])]
 #: Rows at the end of each series that the selection of a law rests on.
-SELECTION_ROWS = 2_000
+SELECTION_ROWS, SELECTION_BURN_IN = 2_000, 50
+LAWS: list[float | None] = [4.0, 6.0, 10.0]
 #: Sizes of the reference's full profile.
 FILTER = {"particles": 500, "most": 250}
 SELECTION_SEEDS, GARCH_STARTS, BOOT_SAMPLES = 2, 5, 2_000
@@ -662,15 +663,7 @@ _filter_query("bocpd_garch_t", True, 6.0)
 def nu_select(spark, d):
     """The finite law of best score: mean predictive log likelihood by series over all seeds, then class, then over classes; ties to the first law."""
     series = _prices_for_filter(spark, d, SELECTION_ROWS)
-    classes = series.select("ticker", "asset_class").distinct()
-    scored = None
-    for i, nu in enumerate((4.0, 6.0, 10.0)):
-        for replicate in range(SELECTION_SEEDS):
-            own = R.change_features(series, "ticker", "x", nu=nu, replicate=replicate, **FILTER).groupBy("ticker").agg(F.avg("predictive_log_likelihood").alias("score"))
-            own = own.withColumns({"nu": F.lit(nu), "ord": F.lit(i)})
-            scored = own if scored is None else scored.unionByName(own)
-    pooled = scored.join(classes, "ticker").groupBy("nu", "ord", "asset_class").agg(F.avg("score").alias("score")).groupBy("nu", "ord").agg(F.avg("score").alias("score"))
-    return pooled.orderBy(F.desc("score"), "ord").limit(1).select("nu", "score")
+    return R.select_law(R.law_scores(series, ["asset_class", "ticker"], "x", LAWS, SELECTION_SEEDS, burn_in=SELECTION_BURN_IN, **FILTER), ["ticker"], "asset_class")
 
 
 @_query

@@ -228,6 +228,35 @@ def filt_gate_policy(spark, d):
     return Q._round(E.select_policy(E.gate_grid(Q._ensemble(spark, d), GRID_P, GRID_M), "rank-hyst", 0.25, "2"))
 
 
+_CLASSES = dict(
+    peers="SELECT asset_class, date, count(*) AS n, sum(mask::INT) AS a, sum(CASE WHEN mask THEN coalesce(rank, 0.5) END) AS whole FROM gated GROUP BY 1, 2",
+    held="""SELECT g.*, day, policy, CASE policy WHEN 'ungated' THEN 1.0 / n WHEN 'hyst' THEN mask::INT / CAST(n AS DOUBLE)
+      ELSE mask::INT / CAST(n AS DOUBLE) + coalesce(CASE WHEN mask THEN coalesce(rank, 0.5) END / nullif(whole, 0) * (n - a) / CAST(n AS DOUBLE), 0) END AS capital
+      FROM gated g JOIN days USING (date) JOIN peers USING (asset_class, date) CROSS JOIN (VALUES ('ungated'), ('hyst'), ('confidence')) p(policy)""",
+    moved="SELECT *, mean * capital * lev AS h, lag(mean * capital * lev) OVER w AS h0, lag(day) OVER w AS d0 FROM held WINDOW w AS (PARTITION BY policy, ticker ORDER BY day)",
+    sleeves="SELECT asset_class, policy, date, sum(mean * capital * target) AS gross, coalesce(sum(CASE WHEN day - d0 = 1 THEN abs(h - h0) END), 0) AS turnover FROM moved GROUP BY 1, 2, 3",
+    nets="""SELECT k.asset_class, k.policy, d.date, bps, coalesce(gross, 0) - bps * 1e-4 * coalesce(turnover, 0) AS net FROM (SELECT DISTINCT asset_class, policy FROM sleeves) k CROSS JOIN days d
+      CROSS JOIN (VALUES (0.0::DOUBLE), (2.0), (3.0)) b(bps) LEFT JOIN sleeves s ON s.asset_class = k.asset_class AND s.policy = k.policy AND s.date = d.date""",
+    free="SELECT g.*, mask::INT / CAST(n AS DOUBLE) + coalesce(CASE WHEN mask THEN coalesce(rank, 0.5) END / nullif(whole, 0) * (n - a) / CAST(n AS DOUBLE), 0) AS capital, n FROM gated g JOIN counts USING (date) LEFT JOIN norms USING (date)",
+    by_day="SELECT asset_class, date, sum(mean * target) / count(*) AS u, coalesce(sum(mean * target) FILTER (WHERE mask), 0) / count(*) AS g, sum(capital) AS c, sum(1.0 / n) AS s FROM free GROUP BY 1, 2",
+    contract="SELECT asset_class, ticker, count(*) AS n, avg(mean * target) AS x, stddev_samp(mean * target) AS d, count(*) FILTER (WHERE mask) AS n1, avg(mean * target) FILTER (WHERE mask) AS x1, stddev_samp(mean * target) FILTER (WHERE mask) AS d1, count(*) FILTER (WHERE NOT mask) AS idle FROM gated GROUP BY 1, 2",
+    conditional="""SELECT asset_class, count(*) AS contracts, sum(idle) / sum(n) AS abstention, sum(x / d * sqrt(252) * n) FILTER (WHERE n >= 60 AND d > 0) / sum(n) FILTER (WHERE n >= 60 AND d > 0) AS cond_ungated,
+      sum(x1 / d1 * sqrt(252) * n1) FILTER (WHERE n1 >= 60 AND d1 > 0) / sum(n1) FILTER (WHERE n1 >= 60 AND d1 > 0) AS cond_gated FROM contract GROUP BY 1""",
+)
+
+
+@_report(query(f"SELECT asset_class, policy, CAST(year(date) AS INT) AS \"window\", bps, round({_SHARPE.format('net')}, 5) AS sharpe FROM nets GROUP BY 1, 2, 3, 4", **_CLASSES))
+def gate_class_windows(spark, d):
+    """Each class's sleeve under three rules and three costs, by year."""
+    return Q._round(E.class_windows(Q._gated(spark, d), (0.0, 2.0, 3.0), F.year("date")), 5)
+
+
+@_report(query(f"SELECT asset_class, contracts, {', '.join(f'round({c}, 5) AS {c}' for c in ('abstention', 'cond_ungated', 'cond_gated', 'sleeve_ungated', 'sleeve_hyst', 'share_baseline', 'share_confidence'))} FROM conditional JOIN (SELECT asset_class, {_SHARPE.format('u')} AS sleeve_ungated, {_SHARPE.format('g')} AS sleeve_hyst, sum(s) / (SELECT count(DISTINCT date) FROM gated) AS share_baseline, avg(c) AS share_confidence FROM by_day GROUP BY 1) USING (asset_class)", **_CLASSES))
+def gate_class_summary(spark, d):
+    """What the gate leaves idle in each class, what it earns there, and the capital that it moves between classes."""
+    return Q._round(E.class_summary(Q._gated(spark, d)), 5)
+
+
 @_report(query("SELECT coalesce(a.date, b.date) AS date, a.date IS NULL AS lacks_first, b.date IS NULL AS lacks_second FROM (SELECT date FROM folio WHERE asset_class = 'ASIA') a FULL JOIN (SELECT date FROM folio WHERE asset_class = 'EUROPE') b ON a.date = b.date WHERE a.date IS NULL OR b.date IS NULL"))
 def join_calendar_gaps(spark, d):
     """The dates that only one of two portfolios has."""

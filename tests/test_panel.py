@@ -3,6 +3,7 @@
 import datetime as dt
 import math
 import zipfile
+import zlib
 
 import duckdb
 import numpy as np
@@ -136,6 +137,32 @@ def test_filter_invariants():
         assert 0 <= cp <= young <= 1 and run >= 0 and var >= -1e-9 and len(own.runs) <= 20 and abs(np.exp(own.joint).sum() - 1) < 1e-9
 
 
+def test_law_scores_equal_the_filter_in_a_loop(spark):
+    rng = np.random.default_rng(6)
+    values = {(w, t): rng.standard_t(5, 40 if w == 1 else 25) for w in (1, 2) for t in "abc"}
+    rows = [(w, "c" if t == "a" else "d", t, i, float(x)) for (w, t), xs in values.items() for i, x in enumerate(xs)]
+    df = spark.createDataFrame(rows, "window int, k string, ticker string, pos int, x double")
+    laws, small = [4.0, 10.0, None], {"particles": 20, "most": 10}
+    scores = regimes.law_scores(df, ["window", "k", "ticker"], "x", laws, 2, burn_in=10, **small)
+    got = {(r["window"], r["ticker"], r["ord"], r["replicate"]): r["score"] for r in scores.collect()}
+    want = {}
+    for (w, t), xs in values.items():
+        for i, nu in enumerate(laws):
+            for j in range(2):
+                seed = zlib.crc32(t.encode())
+                own = regimes.ChangeFilter(regimes.Prior(), True, nu, seed=[seed, j] if j else seed, **small)
+                want[w, t, i, j] = np.mean([own.update(float(x))[-1] for x in xs][10:])
+    assert got.keys() == want.keys() and all(got[k] == pytest.approx(want[k]) for k in want)
+    best = {r["window"]: r["nu"] for r in regimes.select_law(scores, ["ticker"], "k", ["window"]).collect()}
+    for w in (1, 2):
+        pooled = [np.mean([np.mean([np.mean([want[w, t, i, j] for j in range(2)]) for t in ts]) for ts in ("a", "bc")]) for i in range(2)]
+        assert best[w] == laws[int(np.argmax(pooled))]
+    tied = spark.createDataFrame([(i, nu, "c", "t", 1.0) for i, nu in enumerate((6.0, 4.0))], "ord int, nu double, k string, ticker string, score double")
+    assert [r["nu"] for r in regimes.select_law(tied, ["ticker"], "k").collect()] == [6.0]
+    with pytest.raises(Exception, match="no finite scores"):
+        regimes.law_scores(df, ["window", "k", "ticker"], "x", [4.0], 1, burn_in=30, **small).collect()
+
+
 def test_garch_finds_the_stream():
     values, _ = regimes.garch_stream(np.random.default_rng(3), 800, [(0, {"mu": 0.0, "omega": 0.05, "alpha": 0.08, "beta": 0.87, "hbar": 1.0})])
     fit = regimes.fit_garch(values, starts=1)
@@ -222,6 +249,7 @@ def test_models_get_whole_series(spark, monkeypatch, name):
     days = [("t", "c", i, DAY + dt.timedelta(i), float((-1) ** i * (1 + i // 2000))) for i in range(2500)]
     monkeypatch.setattr(catalogue, "_log", lambda *_: spark.createDataFrame(days, "ticker string, asset_class string, pos int, date date, return_pct double"))
     monkeypatch.setattr(regimes, "change_features", seen)
+    monkeypatch.setattr(regimes, "law_scores", seen)
     monkeypatch.setattr(regimes, "garch_fits", seen)
     with pytest.raises(Seen) as e:
         catalogue.QUERIES[name](spark, "")
@@ -233,15 +261,15 @@ def test_models_get_whole_series(spark, monkeypatch, name):
 
 @pytest.mark.parametrize(("name", "calls", "want"), [
     ("garch_fit", 1, {"starts": 5}), ("bocpd_iid", 1, {"particles": 500, "most": 250}), ("bocpd_garch", 1, {"particles": 500, "most": 250}), ("bocpd_garch_t", 1, {"particles": 500, "most": 250}),
-    ("nu_select", 6, {"particles": 500, "most": 250}), ("stream_bocpd", 1, {"particles": 500, "most": 250}), ("boot_seeded", 1, {"samples": 2000}), ("lstm_search", 1, {"epochs": 300, "patience": 25, "jobs": 50}), ("lstm_replicate", 2, {"epochs": 300, "patience": 25}),
+    ("nu_select", 1, {"particles": 500, "most": 250, "burn_in": 50, "laws": [4.0, 6.0, 10.0], "replicates": 2}), ("stream_bocpd", 1, {"particles": 500, "most": 250}), ("boot_seeded", 1, {"samples": 2000}), ("lstm_search", 1, {"epochs": 300, "patience": 25, "jobs": 50}), ("lstm_replicate", 2, {"epochs": 300, "patience": 25}),
 ])
 def test_models_have_full_sizes(spark, monkeypatch, name, calls, want):
     seen = []
     series = spark.createDataFrame([("t", "c", 1, 0.5)], "ticker string, asset_class string, pos int, x double")
 
-    def features(*_, replicate=0, **settings):
-        seen.append(settings)
-        return spark.createDataFrame([("t", 1.0 + replicate)], "ticker string, predictive_log_likelihood double")
+    def scores(_, __, ___, laws, replicates, **settings):
+        seen.append(settings | {"laws": laws, "replicates": replicates})
+        return spark.createDataFrame([("c", "t", 0, 4.0, 0, 1.0)], "asset_class string, ticker string, ord int, nu double, replicate int, score double")
 
     def search(jobs, _, **settings):
         seen.append(settings | {"jobs": jobs.count()})
@@ -251,7 +279,8 @@ def test_models_have_full_sizes(spark, monkeypatch, name, calls, want):
     monkeypatch.setattr(catalogue, "_online", lambda _, __, detector: seen.append(detector.settings))
     monkeypatch.setattr(catalogue, "_pairs", lambda *_: series)
     monkeypatch.setattr(catalogue, "_blocks", lambda *_: None)
-    monkeypatch.setattr(regimes, "change_features", features)
+    monkeypatch.setattr(regimes, "change_features", lambda *_, **settings: seen.append(settings))
+    monkeypatch.setattr(regimes, "law_scores", scores)
     monkeypatch.setattr(regimes, "garch_fits", lambda *_, **settings: seen.append(settings))
     monkeypatch.setattr(metrics, "paired_bootstrap", lambda _, __, samples: seen.append({"samples": samples}))
     monkeypatch.setattr(positions, "search", search)
