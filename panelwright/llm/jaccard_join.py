@@ -1,8 +1,10 @@
 """N-gram Jaccard join by a grouped prefix join.
 
-1. A counting sketch of all shingles of the corpus (fixed size) gives the global order: rarer first.
-2. Each document keeps the prefix of its set under that order: any two documents over the threshold share a
+1. A counting sketch of all shingles of the corpus (fixed size) gives the global order: rarer first. Its cells are
+   compared with what other shingles bring to any cell, so the order stays sharp where every cell is full.
+2. Each document has the prefix of its set under that order: any two documents over the threshold share a
    token of their prefixes. Equal sets collapse into a class, classes with equal prefix and size into a group.
+   Of all rows only sizes and fingerprints are kept; the tokens of the groups are read again from the text.
 3. Groups meet on prefix tokens. A token of few groups gives pairs, which the sizes and the number of shared
    prefix tokens filter; a token of many groups gives one star, which drops no pair, only filters none.
    Sets too small to link with any set but an equal one take no part.
@@ -20,16 +22,18 @@ from fractions import Fraction
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark import Broadcast
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from panelwright.llm.common import cut, only, text_bytes
 from panelwright.llm.components import connected_components
 from panelwright.llm.shingles import mix, shingle_sets
 
-#: Cells of the counting sketch; its levels (one byte each) are broadcast, whatever the corpus.
-SKETCH_BITS = 20
+#: Cells of the counting sketch; their levels (two bytes each, so many bits of a key) are broadcast, whatever the corpus.
+SKETCH_BITS, LEVEL_BITS = 22, 10
 SLICE_BITS = 14
 #: Groups on a token up to which pairs are listed; beyond, the token's groups form a star.
 PAIRS_UP_TO = 48
@@ -37,10 +41,18 @@ PAIRS_UP_TO = 48
 BLOCK_SHINGLES, BLOCK_SETS = 1_000_000, 1_500
 #: Columns of a dense incidence matrix at a time.
 COLUMNS = 8192
+#: Rows of tokens in an Arrow batch, and texts that are hashed at a time.
+TOKEN_ROWS, TEXTS_AT_A_TIME = 1 << 17, 1000
 #: Bits of the filter of candidate ids per candidate, and its largest size.
 FILTER_BITS_EACH, FILTER_BITS_MOST = 16, 1 << 28
 
 
+def _sets(column: pa.Array, width: int) -> Iterator[np.ndarray]:
+    """The shingle sets of a text column, some texts at a time: hashing takes many times the texts' memory."""
+    for lo in range(0, len(column), TEXTS_AT_A_TIME):
+        yield from shingle_sets(*text_bytes(column.slice(lo, TEXTS_AT_A_TIME)), width)
+
+
 def _slices(total: np.ndarray, width: int) -> Iterator[pa.RecordBatch]:
     cells = total.reshape(-1, width)
     used = np.flatnonzero(cells.any(axis=1))
@@ -59,56 +71,92 @@ def _summed(batches: Iterator[pa.RecordBatch], kind: str, merge) -> Iterator[pa.
         yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.int32()), pa.array([zlib.compress(x.tobytes(), 1) for x in sums.values()], pa.binary())], ["slice", "cells"])
 
 
+def levels_of(cells: np.ndarray) -> np.ndarray:
+    """A level for each count, never falling with it: an eighth of the counts' usual spread each, then an eighth of a doubling.
+
+    A cell holds its own shingle and, in a large corpus, many others. What these bring is the median, and differs from
+    cell to cell by about its root; steps of that size tell a shingle of 50 documents from one of two in a full cell.
+    """
+    usual = float(np.median(cells))
+    spread = max(1.0, usual) ** 0.5
+    above = np.maximum(0.0, cells - max(0.0, usual - 6 * spread)) / max(1.0, spread / 8)
+    half = 1 << (LEVEL_BITS - 1)
+    return np.minimum(2 * half - 1, np.where(above < half, above, half + 8 * np.log2(np.maximum(above, half) / half))).astype(np.uint16)
+
+
 def rarity_levels(docs: DataFrame, text: str, width: int) -> np.ndarray:
-    """A level (0 to 63, about 2 * log2 of the count) for each cell of the sketch of all shingles of all rows."""
+    """The level of each cell of the sketch of all shingles of all rows."""
 
     def count(batches):
         total = np.zeros(1 << SKETCH_BITS, np.uint32)
         for batch in batches:
-            for own in shingle_sets(*text_bytes(batch.column(0)), width):
+            for own in _sets(batch.column(0), width):
                 cells = (own & np.uint64((1 << SKETCH_BITS) - 1)).astype(np.int64)
                 np.add.at(total, cells, np.uint32(1))
         yield from _slices(total, 1 << SLICE_BITS)
 
     parts = docs.select(text).mapInArrow(count, "slice int, cells binary")
     sums = parts.repartition(8, "slice").mapInArrow(lambda b: _summed(b, "uint32", np.add), "slice int, cells binary")
-    levels = np.zeros(1 << SKETCH_BITS, np.uint8)
+    total = np.zeros(1 << SKETCH_BITS, np.uint32)
     for row in sums.collect():  # at most 2 ** (SKETCH_BITS - SLICE_BITS) rows
-        cells = np.frombuffer(zlib.decompress(row.cells), np.uint32).astype(np.float64)
-        levels[row.slice << SLICE_BITS : (row.slice + 1) << SLICE_BITS] = np.minimum(63, 2 * np.log2(1 + cells)).astype(np.uint8)
-    return levels
+        total[row.slice << SLICE_BITS : (row.slice + 1) << SLICE_BITS] = np.frombuffer(zlib.decompress(row.cells), np.uint32)
+    return levels_of(total)
+
 
+def _prefix(own: np.ndarray, level: np.ndarray, threshold: Fraction) -> np.ndarray:
+    """The keys, in the global order, of the least part of a set that meets every set over the threshold."""
+    cells = (own & np.uint64((1 << SKETCH_BITS) - 1)).astype(np.int64)
+    key = (level[cells].astype(np.uint64) << np.uint64(63 - LEVEL_BITS)) | (own >> np.uint64(LEVEL_BITS + 1))
+    least = len(own) - math.ceil(threshold * len(own)) + 1 if len(own) else 0
+    return np.sort(key)[:least]
 
-def signatures(docs: DataFrame, doc_id: str, text: str, width: int, threshold: Fraction) -> DataFrame:
-    """doc_id, n (size of the set), fp1, fp2 (fingerprint of the set), prefix (order keys, ascending), prefix_hash."""
-    spark = docs.sparkSession
-    levels = spark.sparkContext.broadcast(rarity_levels(docs, text, width))
+
+def signatures(docs: DataFrame, doc_id: str, text: str, width: int, threshold: Fraction, levels: Broadcast) -> DataFrame:
+    """doc_id, n (size of the set), fp1, fp2 (fingerprint of the set), last (key of the prefix), prefix_hash."""
 
     def sign(batches):
         level = levels.value
         for batch in batches:
-            n, fp, prefixes, hashes = [], [], [], []
-            for own in shingle_sets(*text_bytes(batch.column(1)), width):
-                key = np.sort((level[(own & np.uint64((1 << SKETCH_BITS) - 1)).astype(np.int64)].astype(np.uint64) << np.uint64(57)) | (own >> np.uint64(7)))
-                least = len(own) - math.ceil(threshold * len(own)) + 1 if len(own) else 0
+            n, fp, lasts, hashes = [], [], [], []
+            for own in _sets(batch.column(1), width):
+                prefix = _prefix(own, level, threshold)
                 n.append(len(own))
                 fp.append(xxhash.xxh3_128_digest(own.tobytes()))
-                prefixes.append(key[:least].view(np.int64))
-                hashes.append(xxhash.xxh3_64_intdigest(key[:least].tobytes()) - 2**63)
+                lasts.append(int(prefix[-1]) if len(prefix) else 0)
+                hashes.append(xxhash.xxh3_64_intdigest(prefix.tobytes()) - 2**63)
             fps = np.frombuffer(b"".join(fp), np.int64).reshape(-1, 2)
-            ends = np.cumsum([0, *map(len, prefixes)])
-            prefix = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate([*prefixes, np.zeros(0, np.int64)])))
-            yield pa.RecordBatch.from_arrays([batch.column(0).cast(pa.int64()), pa.array(n, pa.int64()), pa.array(fps[:, 0]), pa.array(fps[:, 1]), prefix, pa.array(hashes, pa.int64())], ["doc_id", "n", "fp1", "fp2", "prefix", "prefix_hash"])
+            arrays = [batch.column(0).cast(pa.int64()), pa.array(n, pa.int64()), pa.array(fps[:, 0]), pa.array(fps[:, 1]), pa.array(lasts, pa.int64()), pa.array(hashes, pa.int64())]
+            yield pa.RecordBatch.from_arrays(arrays, ["doc_id", "n", "fp1", "fp2", "last", "prefix_hash"])
+
+    return docs.select(doc_id, text).mapInArrow(sign, "doc_id long, n long, fp1 long, fp2 long, last long, prefix_hash long")
 
-    return docs.select(doc_id, text).mapInArrow(sign, "doc_id long, n long, fp1 long, fp2 long, prefix array<long>, prefix_hash long")
 
+def prefix_tokens(docs: DataFrame, doc_id: str, text: str, width: int, threshold: Fraction, levels: Broadcast, marked: Broadcast, least: int) -> DataFrame:
+    """(token, gid) of the rows with sets of that least size whose id the filter may hold, read again from the text."""
 
-def candidate_links(groups: DataFrame, threshold: Fraction) -> DataFrame:
-    """(a, b) of groups that may hold documents over the threshold; see the module's text for why none is missed."""
+    def tokens(batches):
+        level = levels.value
+        for batch in batches:
+            part = _held(batch, marked.value)
+            prefixes = [_prefix(own, level, threshold) if len(own) >= least else own[:0] for own in _sets(part.column(1), width)]
+            ids = np.repeat(part.column(0).cast(pa.int64()).to_numpy(zero_copy_only=False), [len(x) for x in prefixes])
+            keys = np.concatenate([*prefixes, np.zeros(0, np.uint64)]).view(np.int64)
+            for lo in range(0, len(keys), TOKEN_ROWS):
+                yield pa.RecordBatch.from_arrays([pa.array(keys[lo : lo + TOKEN_ROWS]), pa.array(ids[lo : lo + TOKEN_ROWS])], ["token", "gid"])
+
+    return docs.select(doc_id, text).mapInArrow(tokens, "token long, gid long")
+
+
+def candidate_links(tokens: DataFrame, groups: DataFrame, threshold: Fraction) -> DataFrame:
+    """(a, b) of groups that may hold documents over the threshold; see the module's text for why none is missed.
+
+    Tokens of other rows than the groups' own, and tokens that come twice, may add candidates and take none away.
+    """
     num, den = threshold.numerator, threshold.denominator
-    tokens = groups.select(F.explode("prefix").alias("token"), "gid", "n", F.size("prefix").alias("p"), F.element_at("prefix", -1).alias("last"))
-    shared = tokens.groupBy("token").agg(F.count("*").alias("k"), F.min("gid").alias("leader")).where("k > 1")
-    met = cut(tokens.join(shared, "token"))
+    w = Window.partitionBy("token")
+    shared = tokens.select("token", "gid", F.count("*").over(w).alias("k"), F.min("gid").over(w).alias("leader")).where("k > 1")
+    prefix = F.col("n") - F.ceil(F.col("n") * num / den - F.lit(1e-9)) + 1
+    met = cut(shared.join(groups.select("gid", "n", "last", prefix.alias("p")), "gid"))
     few = met.where(F.col("k") <= PAIRS_UP_TO)
     a, b = few.alias("a"), few.alias("b")
     pairs = a.join(b, (F.col("a.token") == F.col("b.token")) & (F.col("a.gid") < F.col("b.gid")) & (F.least("a.n", "b.n") * den >= F.greatest("a.n", "b.n") * num))
@@ -125,10 +173,11 @@ def _id_filter(ids: DataFrame, n: int) -> np.ndarray:
     width = min(bits // 8, 1 << 16)
 
     def mark(batches):
-        total = np.zeros(bits, bool)
+        total = np.zeros(bits // 8, np.uint8)
         for batch in batches:
-            total[(mix(batch.column(0).to_numpy(zero_copy_only=False).astype(np.int64).view(np.uint64)) & np.uint64(bits - 1)).astype(np.int64)] = True
-        yield from _slices(np.packbits(total, bitorder="little"), width)
+            place = (mix(batch.column(0).to_numpy(zero_copy_only=False).astype(np.int64).view(np.uint64)) & np.uint64(bits - 1)).astype(np.int64)
+            np.bitwise_or.at(total, place >> 3, np.uint8(1) << (place & 7).astype(np.uint8))
+        yield from _slices(total, width)
 
     parts = ids.mapInArrow(mark, "slice int, cells binary").repartition(8, "slice").mapInArrow(lambda b: _summed(b, "uint8", np.bitwise_or), "slice int, cells binary")
     out = np.zeros(bits // 8, np.uint8)
@@ -137,20 +186,23 @@ def _id_filter(ids: DataFrame, n: int) -> np.ndarray:
     return out
 
 
+def _held(batch: pa.RecordBatch, bits: np.ndarray) -> pa.RecordBatch:
+    """The rows whose id (the first column) the filter may hold."""
+    ids = batch.column(0).cast(pa.int64())
+    place = (mix(ids.fill_null(0).to_numpy(zero_copy_only=False).view(np.uint64)) & np.uint64(len(bits) * 8 - 1)).astype(np.int64)
+    hit = ((bits[place >> 3] >> (place & 7).astype(np.uint8)) & 1).astype(bool)
+    return batch.filter(pc.and_(pa.array(hit), pc.is_valid(ids)))
+
+
 def _sets_of(docs: DataFrame, doc_id: str, text: str, width: int, marked: np.ndarray) -> DataFrame:
     """(rep, cells) of the rows whose id the filter may hold, read again from the text: sets are never stored for all rows."""
     shared = docs.sparkSession.sparkContext.broadcast(marked)
 
     def encode(batches):
-        bits = shared.value
-        mask = np.uint64(len(bits) * 8 - 1)
         for batch in batches:
-            ids = batch.column(0).cast(pa.int64())
-            place = (mix(ids.fill_null(0).to_numpy(zero_copy_only=False).view(np.uint64)) & mask).astype(np.int64)
-            hit = ((bits[place >> 3] >> (place & 7).astype(np.uint8)) & 1).astype(bool)
-            if hit.any():
-                part = batch.filter(pa.array(hit))
-                cells = [own.tobytes() for own in shingle_sets(*text_bytes(part.column(1)), width)]
+            part = _held(batch, shared.value)
+            if part.num_rows:
+                cells = [own.tobytes() for own in _sets(part.column(1), width)]
                 yield pa.RecordBatch.from_arrays([part.column(0).cast(pa.int64()), pa.array(cells, pa.binary())], ["rep", "cells"])
 
     return docs.select(doc_id, text).mapInArrow(encode, "rep long, cells binary")
@@ -214,14 +266,17 @@ def jaccard_classes(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     columns are ignored; an empty table gives an empty table.
     """
     docs = only(docs, doc_id, text)
-    signed = cut(signatures(docs, doc_id, text, width, threshold))
+    broadcast = docs.sparkSession.sparkContext.broadcast
+    levels = broadcast(rarity_levels(docs, text, width))
+    signed = cut(signatures(docs, doc_id, text, width, threshold, levels))
     real = signed.where("n > 0 AND doc_id IS NOT NULL")
-    classes = real.groupBy("n", "fp1", "fp2").agg(F.min("doc_id").alias("rep"), F.first("prefix").alias("prefix"), F.first("prefix_hash").alias("prefix_hash"))
+    classes = real.groupBy("n", "fp1", "fp2").agg(F.min("doc_id").alias("rep"), F.first("last").alias("last"), F.first("prefix_hash").alias("prefix_hash"))
     classes = cut(classes)
     least = math.ceil(threshold / (1 - threshold)) if threshold < 1 else 1 << 62  # smaller sets link with equal ones only
-    groups = classes.where(F.col("n") >= least).groupBy("n", "prefix_hash").agg(F.min("rep").alias("gid"), F.first("prefix").alias("prefix"), F.count("*").alias("members"))
+    groups = classes.where(F.col("n") >= least).groupBy("n", "prefix_hash").agg(F.min("rep").alias("gid"), F.first("last").alias("last"), F.count("*").alias("members"))
     groups = cut(groups)
-    found = connected_components(candidate_links(groups, threshold), "a", "b")
+    tokens = prefix_tokens(docs, doc_id, text, width, threshold, levels, broadcast(_id_filter(groups.select("gid"), groups.count())), least)
+    found = connected_components(candidate_links(tokens, groups, threshold), "a", "b")
     clustered = groups.select("n", "prefix_hash", "gid", "members").join(found.withColumnRenamed("id", "gid"), "gid", "left").where("component IS NOT NULL OR members > 1")
     candidates = cut(classes.join(clustered.select("n", "prefix_hash", F.coalesce("component", "gid").alias("cluster")), ["n", "prefix_hash"]).select("rep", "n", "cluster", size_step(F.col("n"), threshold).alias("step")))
     blocks = F.greatest(F.ceil(F.sum("n") / BLOCK_SHINGLES), F.ceil(F.count("*") / BLOCK_SETS)).cast("int")

@@ -190,6 +190,38 @@ def test_jaccard_against_all_pairs(spark, none, monkeypatch, width, threshold):
     assert jaccard_join.jaccard_classes(none).count() == 0
 
 
+def test_shared_shingles_come_last_where_all_cells_are_full(spark, monkeypatch):
+    """262 shingles of others in each cell: those of 60 documents must still stand out, or prefixes fill with them."""
+    monkeypatch.setattr(jaccard_join, "SKETCH_BITS", 8)
+    monkeypatch.setattr(jaccard_join, "SLICE_BITS", 6)
+    rng = random.Random(6)
+    texts = [" ".join(f"w{rng.randrange(10**9)}" for _ in range(44)) for _ in range(1600)]
+    passages = [" ".join(f"p{k}x{j}" for j in range(3)) for k in range(20)]
+    for i in range(20 * 60):
+        texts[i] += " " + passages[i % 20]
+    levels = jaccard_join.rarity_levels(documents(spark, list(enumerate(texts))), "text", 3)
+    data = [p.encode() for p in passages]
+    own = np.concatenate(list(shingles.shingle_sets(np.frombuffer(b"".join(data), np.uint8), np.cumsum([0, *map(len, data)]), 3)))
+    below = [(levels < x).mean() for x in levels[(own & np.uint64(255)).astype(int)]]
+    assert np.median(below) > 0.95 and min(below) > 0.6
+
+
+def test_jaccard_keeps_no_prefixes_of_all_rows(spark, monkeypatch):
+    kept = []
+    monkeypatch.setattr(jaccard_join, "cut", lambda df: kept.append(df.dtypes) or df)
+    jaccard_join.jaccard_classes(documents(spark)).collect()
+    assert kept and not [c for columns in kept[:3] for c, kind in columns if kind.startswith("array")]
+
+
+def test_jaccard_of_repeated_rows_and_ids(spark):
+    """Rows that share an id, or repeat, may only add candidates: links are those of all texts of the id."""
+    first = [f"a{j}" for j in range(60)]
+    near, other = [*first[:59], "z"], [f"b{j}" for j in range(60)]
+    texts = [(5, first), (5, first), (5, other), (7, near), (7, near), (9, [*other[:59], "y"]), (3, other), (2, ["alone"] * 40)]
+    got = {(r.doc_id, r.n_shingles): r.component_id for r in jaccard_join.jaccard_classes(documents(spark, [(i, " ".join(w)) for i, w in texts])).collect()}
+    assert {got[7, 58], got[9, 58], got[3, 58], got[5, 58]} == {3} and got[2, 1] == 2
+
+
 # ---- quality --------------------------------------------------------------------------------------------------
 
 
