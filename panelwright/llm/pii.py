@@ -365,22 +365,32 @@ class PiiModel:
         out += self.p["o"][:, None]
         return out
 
-    def above_none(self, e: np.ndarray) -> np.ndarray:
-        """Which sequences have a tagging with spans that beats "outside" throughout: first a bound by position, then the best score exactly."""
+    def may_hold(self, e: np.ndarray) -> np.ndarray:
+        """Sequences with a span that, begun and left at the best transitions, gains over "outside": of each tagging that gains, one span does."""
         t = self._potentials() - self.p["T"][0, 0]
-        step = np.maximum(t.max(axis=0), 0) + np.maximum(t[:, 0], 0)  # what a tag's own and the next transition may gain
-        gain = e - e[:, :1]
-        rows = np.flatnonzero((gain[:, 1:] + step[1:, None] > 0).any(axis=(0, 1)))
-        gain = np.ascontiguousarray(gain[:, :, rows])
-        ends = np.append(0, np.arange(1, TAGS, 2))
-        into, begin, inner = t[:, ends].astype(np.float32)[:, :, None], t[range(1, TAGS, 2), range(2, TAGS, 2)].astype(np.float32)[:, None], t[range(2, TAGS, 2), range(2, TAGS, 2)].astype(np.float32)[:, None]
-        score = np.where(self.allowed[0][:, None], gain[0], np.float32(-1e4))
-        for j in range(1, len(gain)):
-            new = np.empty_like(score)
-            new[ends] = (score[:, None] + into).max(axis=0)
-            new[2::2] = np.maximum(score[1::2] + begin, score[2::2] + inner)
-            score = np.add(new, gain[j], out=new)
-        return rows[score.max(axis=0) > 1e-4] if len(rows) else rows
+        begins, inners = np.arange(1, TAGS, 2), np.arange(2, TAGS, 2)
+        into, begin, inner = (x.astype(np.float32)[:, None] for x in (t[:, begins].max(axis=0), t[begins, inners], t[inners, inners]))
+        first = e[0, 1::2] - e[0, 0]
+        held, best = np.full_like(first, -1e4), first.copy()
+        for j in range(1, len(e)):
+            held = np.maximum(first + begin, held + inner)
+            held += e[j, 2::2]
+            held -= e[j, 0]
+            first = e[j, 1::2] + (into - e[j, 0])
+            np.maximum(best, first, out=best)
+            np.maximum(best, held, out=best)
+        return np.flatnonzero(best.max(axis=0) + max(0.0, t[1:, 0].max()) > -1e-2)
+
+    def decode(self, e: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Which sequences have a best tagging with spans, and these tags: a bound by single spans leaves few to search."""
+        rows = self.may_hold(e)
+        tags = self.viterbi(e[:, :, rows])
+        spans = tags.any(axis=0)
+        return rows[spans], tags[:, spans]
+
+    def above_none(self, e: np.ndarray) -> np.ndarray:
+        """Which sequences have a tagging with spans that beats "outside" throughout."""
+        return self.decode(e)[0]
 
     def viterbi(self, e: np.ndarray) -> np.ndarray:
         """The best tags, time x batch."""
@@ -478,11 +488,10 @@ def method_spans(points: np.ndarray, offsets: np.ndarray, model: PiiModel, ready
         first = (offsets[text[part]] + start[part])[:, None]
         ids = np.where(inside, points[np.minimum(first + column, len(points) - 1)], 10)
         e = model.fast(np.ascontiguousarray(ids.T, np.int64), ready)
-        rows = model.above_none(e)
+        rows, tags = model.decode(e)
         if not len(rows):
             continue
         e = np.ascontiguousarray(e[:, :, rows])
-        tags = model.viterbi(e)
         _, p, _ = model.forward_backward(e)
         sure = np.take_along_axis(p, tags[:, None], axis=1)[:, 0].T
         tags = tags.T

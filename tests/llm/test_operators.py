@@ -478,6 +478,22 @@ def test_pii_decoding_equals_trying_all_tags():
     assert set(model.above_none(e).tolist()) == {b for b, y in enumerate(best) if any(y)} and 0 < sum(map(any, best)) < len(best)
 
 
+@pytest.mark.parametrize("seed", range(12))
+def test_pii_bound_by_spans_drops_no_sequence_and_most_without_begins(seed):
+    model, rng = pii.PiiModel(pii.PiiSettings(hidden=3, embed=2)), np.random.default_rng(seed)
+    model.p["T"] = rng.normal(0, 1, model.p["T"].shape)
+    e = rng.normal(0, 2, (4, pii.TAGS, 20))
+    e[:, 0] += 1 + seed % 6
+    e[:, :, :5], e[:, 2::2, :5] = np.where(np.arange(pii.TAGS)[:, None] == 0, 0, -30), 3  # insides that no span begins
+    trans, want = model._potentials(), set()
+    total = lambda y, b: sum(e[j, y[j], b] for j in range(4)) + sum(trans[y[j], y[j + 1]] for j in range(3))
+    for b in range(e.shape[2]):
+        if max(total(y, b) for y in itertools.product(range(pii.TAGS), repeat=4) if model.allowed[0][y[0]]) > total((0,) * 4, b) + 1e-3:
+            want.add(b)
+    assert want <= set(model.may_hold(e.astype(np.float32)).tolist()) and not set(range(5)) & set(model.may_hold(e.astype(np.float32)).tolist())
+    assert want == set(model.above_none(e.astype(np.float32)).tolist())
+
+
 def test_pii_windows_cover_and_reconcile():
     settings = pii.PiiSettings(window=16, margin=4)
     text, start = pii.windows(np.array([0, 1, 16, 17, 100]), settings)
