@@ -366,20 +366,26 @@ class PiiModel:
         return out
 
     def may_hold(self, e: np.ndarray) -> np.ndarray:
-        """Sequences with a span that, begun and left at the best transitions, gains over "outside": of each tagging that gains, one span does."""
+        """Sequences that may have neighbouring spans that gain over "outside": a span begins by the best transition from any
+        tag of the best score so far, or from outside, and ends by its own; of each tagging that gains, one such run does."""
         t = self._potentials() - self.p["T"][0, 0]
         begins, inners = np.arange(1, TAGS, 2), np.arange(2, TAGS, 2)
-        into, begin, inner = (x.astype(np.float32)[:, None] for x in (t[:, begins].max(axis=0), t[begins, inners], t[inners, inners]))
+        fresh, beside, begin, inner, out_begin, out_inner = (x.astype(np.float32)[:, None] for x in (t[0, begins], t[1:, begins].max(axis=0), t[begins, inners], t[inners, inners], t[begins, 0], t[inners, 0]))
         first = e[0, 1::2] - e[0, 0]
-        held, best = np.full_like(first, -1e4), first.copy()
+        held, best = np.full_like(first, -1e4), first + out_begin
         for j in range(1, len(e)):
-            held = np.maximum(first + begin, held + inner)
+            top = np.maximum(first, held).max(axis=0)
+            first += begin
+            held += inner
+            np.maximum(held, first, out=held)
             held += e[j, 2::2]
             held -= e[j, 0]
-            first = e[j, 1::2] + (into - e[j, 0])
-            np.maximum(best, first, out=best)
-            np.maximum(best, held, out=best)
-        return np.flatnonzero(best.max(axis=0) + max(0.0, t[1:, 0].max()) > -1e-2)
+            first = np.maximum(fresh, top + beside)
+            first += e[j, 1::2]
+            first -= e[j, 0]
+            np.maximum(best, first + out_begin, out=best)
+            np.maximum(best, held + out_inner, out=best)
+        return np.flatnonzero(np.maximum(best, np.maximum(first, held)).max(axis=0) > -1e-2)
 
     def decode(self, e: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Which sequences have a best tagging with spans, and these tags: a bound by single spans leaves few to search."""
